@@ -120,7 +120,7 @@ def train(texts: list, langs: list, reject_share: float = 0.002, epochs: int = 8
     least = float(np.quantile(q.max(1)[right], reject_share)) if right.any() else 0.0
     floor = float(np.quantile(known[right], reject_share)) if right.any() else 0.0
     # thresholds are floors of what was seen, with a margin: rejection is for texts unlike the sample
-    return {"langs": names, "table": scores.astype(np.float32), "bias": bias, "heat": best[1], "least": min(least, 0.6), "known": 0.8 * floor, "seen": seen}
+    return {"langs": names, "table": scores.astype(np.float32), "bias": bias, "heat": best[1], "least": min(least, 0.45), "known": 0.8 * floor, "seen": seen}
 
 
 def predict(model: dict, texts: list):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import langid, quality, secrets
 
 QUERIES = {
     "op3_language_id": langid.op3,
+    "op6_secret_scan": secrets.op6,
+    "op7_quality": quality.op7,
 }
 
 ORACLE: dict = {}
