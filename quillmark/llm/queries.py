@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, quality, secrets
+from . import langid, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op3_language_id": langid.op3,
+    "op4_mix_sources": mixing.op4,
     "op6_secret_scan": secrets.op6,
     "op7_quality": quality.op7,
+    "op8_hilbert_shards": sharding.op8,
 }
 
 ORACLE: dict = {}
