@@ -125,7 +125,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     part = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
     out = every.withColumn("_copy", F.explode(copies))
-    head = F.regexp_extract("text", F.concat(F.lit(r"(?s)^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){"), part.cast("string"), F.lit("})")), 1) if False else F.array_join(F.slice(F.split("text", r"[\x20\x09-\x0D]+"), 1, part), " ")
+    words = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    head = F.array_join(F.slice(words, 1, part), " ")
     cutting = part < F.col("_size")
     out = out.withColumn("text", F.when(cutting, head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

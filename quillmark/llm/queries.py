@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, secrets, sharding
+from . import decontaminate, langid, mixing, ngram_join, quality, secrets, sharding
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1,
     "op3_language_id": langid.op3,
     "op4_mix_sources": mixing.op4,
+    "op5_decontaminate": decontaminate.op5,
     "op6_secret_scan": secrets.op6,
     "op7_quality": quality.op7,
     "op8_hilbert_shards": sharding.op8,
