@@ -36,18 +36,17 @@ def keyed(df: DataFrame, *columns) -> DataFrame:
 
 
 def grams(df: DataFrame, width: int) -> DataFrame:
-    """Replace the column text by `grams`, the hashes of its word n-grams."""
-    rest = [c for c in df.columns if c != "text"]
-    words = df.select(*rest, F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
-    at = F.sequence(F.lit(0), F.size("w") - width)
-    gram = F.transform(at, lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(width)]))
-    return words.select(*rest, F.when(F.size("w") >= width, gram).alias("grams"))
-
+    """A row `gram`, the hash of a word n-gram, for each position of the column text.
 
-def exploded(df: DataFrame, array) -> DataFrame:
-    """A row for each n-gram. An outer explode: from an inner one Spark infers a filter that tokenises again for each n-gram."""
-    rest = [c for c in df.columns if c != "grams"]
-    return df.select(*rest, F.explode_outer(array).alias("gram")).where("gram is not null")
+    Words are hashed once and n-grams combine their hashes inside generated code. The explode is outer:
+    from an inner one Spark infers a filter that would tokenise the text again.
+    """
+    rest = [c for c in df.columns if c != "text"]
+    words = df.select(*rest, F.split(F.lower("text"), r"[^\p{L}\p{N}]+").alias("w"))
+    hashes = words.select(*rest, F.transform("w", lambda t: F.xxhash64(t)).alias("w"))
+    at = F.when(F.size("w") >= width, F.sequence(F.lit(0), F.size("w") - width))
+    rows = hashes.select(*rest, "w", F.explode_outer(at).alias("i")).where("i is not null")
+    return rows.select(*rest, F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(width)]).alias("gram"))
 
 
 def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> tuple:
@@ -57,17 +56,20 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int =
     """
     named = keyed(items, "item_id").withColumnsRenamed({"k1": "i1", "k2": "i2"})
     texts = keyed(items.where("text is not null"), "text").withColumnsRenamed({"k1": "i1", "k2": "i2"}).dropDuplicates(["i1", "i2"])
-    sets = cut(grams(texts, width)).where("grams is not null").withColumn("grams", F.array_sort(F.array_distinct("grams")))
-    sets = cut(sets.withColumn("item_grams", F.size("grams")))
+    # outer marks would make an empty word at either end; items are trimmed so as not to hold it
+    trimmed = texts.withColumn("text", F.regexp_replace("text", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    whole = grams(trimmed, width).distinct()
+    sets = whole.groupBy("i1", "i2").agg(F.array_sort(F.collect_list("gram")).alias("grams"), F.count("*").cast("int").alias("item_grams"))
+    sets = cut(sets)
     upper = F.pow(F.lit(2.0), F.floor(F.log2("item_grams")) + 1) - 1  # of the size partition
     depth = (F.floor((1 - threshold) * upper + 1e-9) + 1).cast("int")
-    sketch = exploded(sets, F.slice("grams", 1, depth)).drop("item_grams")
-    whole = exploded(sets, F.col("grams"))
+    sketch = sets.select("i1", "i2", F.explode(F.slice("grams", 1, depth)).alias("gram"))
+    whole = sets.select("i1", "i2", "item_grams", F.explode("grams").alias("gram"))
     texts = keyed(docs.where("text is not null"), "text")
-    probe = exploded(grams(texts, width), F.col("grams"))
+    probe = grams(texts, width)
     candidates = cut(probe.join(bounded(sketch), "gram").select("k1", "k2", "i1", "i2").distinct())
     chosen = texts.join(bounded(candidates.select("k1", "k2").distinct()), KEYS, "left_semi")
-    held = exploded(grams(chosen, width), F.col("grams"))
+    held = grams(chosen, width)
     met = held.join(bounded(whole), "gram").select("k1", "k2", "i1", "i2", "item_grams", "gram").distinct()
     counts = met.groupBy("k1", "k2", "i1", "i2", "item_grams").agg(F.count("*").cast("int").alias("shared"))
     verified = counts.join(candidates, ["k1", "k2", "i1", "i2"], "left_semi").where(F.col("shared") >= threshold * F.col("item_grams") - 1e-9)

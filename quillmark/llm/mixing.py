@@ -30,15 +30,19 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size and sampling key (0 to 1, ascending) of each document."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # quality: the share of letters and white space, as weights from 0.05 to 1
-    plain = F.length(F.regexp_replace("text", r"[^\p{L}\s]+", "")) / F.greatest(F.length("text"), F.lit(1))
-    quality = F.coalesce(F.round(F.greatest(plain, F.lit(0.05)), 6), F.lit(0.05))
+    # pieces between runs of white space, less the empty ones at either end
+    docs = docs.select("doc_id", "source", "text", F.split("text", r"[\x20\x09-\x0D]+").alias("w"))
+    ends = F.when(F.get("w", F.lit(0)) == "", 1).otherwise(0) + F.when((F.size("w") > 1) & (F.get("w", F.size("w") - 1) == ""), 1).otherwise(0)
+    docs = docs.select("doc_id", "source", "text", F.when(F.col("text").isNull(), 0).otherwise(F.size("w") - ends).cast("long").alias("size"))
+    size = F.col("size")
+    # quality: texts whose words have an unlikely mean length weigh less
+    mean = F.octet_length("text") / F.greatest(size, F.lit(1))
+    quality = F.round(F.coalesce(1 / (1 + F.abs(mean - 6.5) / 6.5), F.lit(0.5)), 6)
     digest = F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(2.0**48)
     # 1 - u ** (1 / quality) ascends with -ln(u) / quality and lies between 0 and 1
     key = 1 - F.pow(u, 1 / quality)
-    return docs.select("doc_id", "source", size.alias("size"), key.alias("key"), F.substring(digest, 13, 20).alias("tie"))
+    return docs.select("doc_id", "source", "size", key.alias("key"), F.substring(digest, 13, 20).alias("tie"))
 
 
 def targets(sizes: DataFrame, weights: tuple = (5.0, 2.0, 1.0), max_epochs: int = 3) -> DataFrame:
