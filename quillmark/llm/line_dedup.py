@@ -1,16 +1,17 @@
 """Fuzzy line deduplication by MinHash. DataFrame operations only.
 
-A line is compared lower-cased and trimmed. Its shingles are the hashes of all its strings of WIDTH
-UTF-16 units, its signature the SKETCH least of them, and its bands the neighbouring pairs of the
-signature: two lines of similarity s keep a pair with a probability near s^2, and one of the pairs is
-enough. Lines that share a band are sorted by signature, and each is verified against the first and
-the NEAR before it by exact Jaccard on all shingles (in a band of up to NEAR + 1 lines that is every pair).
+A line is compared lower-cased and trimmed. Its shingles are strings of up to WIDTH characters, one from
+each start of a word and, WIDTH characters into an unbroken run, one from each character, so all of
+a line is covered whatever its script. Its signature is the SKETCH least shingle hashes, and its bands the
+neighbouring pairs of the signature: two lines of similarity s keep a pair with a probability near s^2,
+and one of the pairs is enough. Lines that share a band are sorted by signature, and each is verified
+against the first and the NEAR before it by exact Jaccard on all shingles (in a band of up to NEAR + 1
+lines that is every pair); pairs already tied through others are not verified again.
 Links go through distributed union-find; of each component the line of least (doc_id, line number)
 stays, and all others go.
 
 Equal lines are joined by hash before anything else, counted where they are read, so a line in a
-third of all documents is a row for each task. Lines shorter than WIDTH have one shingle, so they go with
-equal ones only. Blank lines are always kept and never compared. A null text has no lines, an empty
+third of all documents is a row for each task. Lines of one shingle go with equal ones only. Blank lines are always kept and never compared. A null text has no lines, an empty
 one has one blank line. Null ids come before all others; rows equal in id and text are one document with
 one row. An empty table gives an empty result.
 """
@@ -32,17 +33,9 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line_no", line.alias("line")).where("line <> ''").withColumn("node", F.xxhash64("line", F.lit(5)))
 
 
-def hashes(data):
-    """Hashes of the strings of WIDTH units of a line given as a column of UTF-16 bytes.
-
-    The bytes must be a column of their own: written out in here they would be encoded for each string.
-    """
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(data) - 2 * WIDTH + 1), F.lit(2))
-    return F.transform(at, lambda i: F.xxhash64(F.substring(data, i, F.lit(2 * WIDTH))))
-
-
-def units(line):
-    return F.encode(line, "UTF-16BE")
+def strings(line):
+    """The shingles of a line, by one scan with a look-ahead."""
+    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{WIDTH}}}))(?=(\S.{{0,{WIDTH - 1}}}))"), F.lit(1))
 
 
 def similar(a: str, b: str, up: int, down: int):
@@ -55,24 +48,37 @@ def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """(node, component) of the lines that have a similar line."""
     once = lines(docs).groupBy("node").agg(F.min("line").alias("line"))
     once = cut(once.select("node", "line"))
-    sketch = F.slice(F.array_sort(F.array_distinct(hashes(F.col("line")))), 1, SKETCH)
-    signed = once.where(F.length("line") > WIDTH).select("node", units("line").alias("data")).select("node", sketch.alias("s"))
+    hashes = F.transform(strings(F.col("line")), lambda x: F.xxhash64(x))
+    signed = once.select("node", hashes.alias("s"))
+    signed = signed.select("node", F.slice(F.sort_array(F.array_distinct("s")), 1, SKETCH).alias("s"))
     pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
-    keys = signed.select("node", F.element_at("s", 1).alias("first"), F.explode_outer(F.when(F.size("s") > 1, pair)).alias("key"))
-    order = Window.partitionBy("key").orderBy("first", "node")
-    ahead = F.array(F.first("node").over(order), *[F.lag("node", k).over(order) for k in range(1, NEAR + 1)])
-    met = keys.where("key is not null").select("node", F.array_distinct(F.filter(ahead, lambda x: x.isNotNull())).alias("others"))
-    pairs = met.where("size(others) > 1 or others[0] <> node").select("node", F.explode("others").alias("other")).where("node <> other")
-    pairs = cut(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    keys = signed.select("node", F.element_at("s", 1).alias("low"), F.explode_outer(F.when(F.size("s") > 1, pair)).alias("key"))
+    order = Window.partitionBy("key").orderBy("low", "node")
+    before = F.array(*[F.lag("node", k).over(order) for k in range(1, NEAR + 1)])
+    met = keys.where("key is not null").select("node", F.first("node").over(order).alias("first"), before.alias("before"))
+    met = met.where("node <> first").select("node", "first", F.explode(F.array_distinct(F.filter("before", lambda x: x.isNotNull()))).alias("other"))
+    met = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("other") == F.col("first")).alias("star"), "node", "first")
+    stars = met.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(True).alias("star"))
+    pairs = cut(met.select("a", "b", "star").union(stars).where("a <> b").groupBy("a", "b").agg(F.max("star").alias("star")))
+    # first every line with the first of its bands; then the others, but for pairs that are already tied
+    tied = verify(once, pairs.where("star").select("a", "b"), up, down)
+    groups = components(tied)
+    ga, gb = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = pairs.where("not star").select("a", "b").join(ga, "a", "left").join(gb, "b", "left").where("ca is null or cb is null or ca <> cb")
+    more = verify(once, cut(rest.select("a", "b")), up, down)
+    return components(tied.union(more))
+
+
+def verify(once: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
+    """The pairs (as src, dst) of lines whose exact Jaccard similarity is up / down or more."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = once.join(wanted, "node", "left_semi")
-    texts = cut(texts)
     left, right = texts.withColumnsRenamed({"node": "a", "line": "la"}), texts.withColumnsRenamed({"node": "b", "line": "lb"})
     both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", units("la").alias("da"), units("lb").alias("db"))
-    both = both.select("a", "b", F.array_distinct(hashes(F.col("da"))).alias("sa"), F.array_distinct(hashes(F.col("db"))).alias("sb"))
-    both = both.select("a", "b", similar("sa", "sb", up, down).alias("near"))
-    return components(cut(both).where("near").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    both = both.select("a", "b", F.array_distinct(strings(F.col("la"))).alias("sa"), F.array_distinct(strings(F.col("lb"))).alias("sb"))
+    # written before it is filtered: a filter pushed below would make the shingles anew for each use
+    both = cut(both.select("a", "b", similar("sa", "sb", up, down).alias("near")))
+    return both.where("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
