@@ -16,7 +16,7 @@ MARK = "\x01"
 def pieces(text):
     """Array of the trimmed sentences of a text column."""
     cut = F.split(F.regexp_replace(text, r"([.?!])[ \t\r]+|\n+", f"$1{MARK}"), MARK)
-    return F.filter(F.transform(cut, F.trim), lambda x: x != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def words(text):
