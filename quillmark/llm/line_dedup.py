@@ -1,12 +1,13 @@
 """Fuzzy line deduplication by MinHash. DataFrame operations only.
 
-A line is compared lower-cased and trimmed. Its shingles are strings of up to WIDTH characters, one from
-each start of a word and, WIDTH characters into an unbroken run, one from each character, so all of
-a line is covered whatever its script. Its signature is the SKETCH least shingle hashes, and its bands the
-neighbouring pairs of the signature: two lines of similarity s keep a pair with a probability near s^2,
-and one of the pairs is enough. Lines that share a band are sorted by signature, and each is verified
-against the first and the NEAR before it by exact Jaccard on all shingles (in a band of up to NEAR + 1
-lines that is every pair); pairs already tied through others are not verified again.
+A line is compared lower-cased and trimmed, its words parted by single spaces. Its shingles are strings of
+up to WIDTH characters: one from each start of a word; one that ends each word of more than WIDTH characters;
+and, in a run of over twice as many, one from each character after the first WIDTH. All of a line is
+covered whatever its script. They are held as 64-bit hashes. A line's signature is the SKETCH least of
+them, and its bands the neighbouring pairs of the signature: two lines of similarity s keep a pair with a
+probability near s^2, and one of the pairs is enough. Every pair of lines that meets in a band is verified
+by exact Jaccard on all shingles, unless others tie it already: in signature order with the first and the
+NEAR before it, and in bands larger than that between all the components then left, by blocks.
 Links go through distributed union-find; of each component the line of least (doc_id, line number)
 stays, and all others go.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, table
 
-WIDTH, SKETCH, NEAR = 8, 10, 4
+WIDTH, SKETCH, NEAR, BLOCK = 8, 10, 4, 64
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -33,52 +34,93 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "line_no", line.alias("line")).where("line <> ''").withColumn("node", F.xxhash64("line", F.lit(5)))
 
 
+def bound(value, body):
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strings(line):
-    """The shingles of a line, by one scan with a look-ahead."""
-    return F.regexp_extract_all(line, F.lit(rf"(?s)(?:(?<!\S)|(?<=\S{{{WIDTH}}}))(?=(\S.{{0,{WIDTH - 1}}}))"), F.lit(1))
+    """The distinct shingles of a line, hashed."""
+
+    def of(words):
+        heads = F.transform(words, lambda w, i: F.xxhash64(F.substring(F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, WIDTH // 2)]), 1, WIDTH)))
+        tails = F.transform(F.filter(words, lambda w: F.length(w).between(WIDTH + 1, 2 * WIDTH)), lambda w: F.xxhash64(F.substring(w, -WIDTH, WIDTH)))
+        runs = F.transform(F.filter(words, lambda w: F.length(w) > 2 * WIDTH), lambda w: bound(F.split(w, ""), windows))
+        return F.array_distinct(F.concat(heads, tails, F.flatten(runs)))
+
+    def windows(chars):
+        return F.transform(F.sequence(F.lit(WIDTH + 1), F.size(chars)), lambda i: F.xxhash64(F.concat_ws("", *[F.get(chars, i - 1 + k) for k in range(WIDTH)])))
+
+    return bound(F.array_remove(F.split(F.translate(line, "\t\r\f\v", "    "), " "), ""), of)
 
 
-def similar(a: str, b: str, up: int, down: int):
+def similar(a, b, up: int, down: int):
     """Whether the Jaccard similarity of two shingle sets is up / down or more, in whole numbers."""
     both = F.size(F.array_intersect(a, b))
     return both * down >= (F.size(a) + F.size(b) - both) * up
 
 
+def alike(n, m, up: int, down: int):
+    """Whether sets of these sizes can be similar."""
+    return (F.least(n, m) * down) >= F.greatest(n, m) * up
+
+
 def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """(node, component) of the lines that have a similar line."""
     once = lines(docs).groupBy("node").agg(F.min("line").alias("line"))
-    once = cut(once.select("node", "line"))
-    hashes = F.transform(strings(F.col("line")), lambda x: F.xxhash64(x))
-    signed = once.select("node", hashes.alias("s"))
-    signed = signed.select("node", F.slice(F.sort_array(F.array_distinct("s")), 1, SKETCH).alias("s"))
+    once = cut(once.select("node", strings(F.col("line")).alias("s")))
+    signed = once.select("node", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("s"))
     pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
-    keys = signed.select("node", F.element_at("s", 1).alias("low"), F.explode_outer(F.when(F.size("s") > 1, pair)).alias("key"))
+    keys = signed.where("size(s) > 1").select("node", "n", F.element_at("s", 1).alias("low"), F.explode(pair).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = cut(keys.join(sizes, "key"))
     order = Window.partitionBy("key").orderBy("low", "node")
-    before = F.array(*[F.lag("node", k).over(order) for k in range(1, NEAR + 1)])
-    met = keys.where("key is not null").select("node", F.first("node").over(order).alias("first"), before.alias("before"))
-    met = met.where("node <> first").select("node", "first", F.explode(F.array_distinct(F.filter("before", lambda x: x.isNotNull()))).alias("other"))
-    met = met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("other") == F.col("first")).alias("star"), "node", "first")
-    stars = met.select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(True).alias("star"))
-    pairs = cut(met.select("a", "b", "star").union(stars).where("a <> b").groupBy("a", "b").agg(F.max("star").alias("star")))
+    peer = F.struct("node", "n")
+    near = F.array(F.first(peer).over(order), *[F.lag(peer, k).over(order) for k in range(1, NEAR + 1)])
+    met = keys.select("node", "n", near.alias("near")).select("node", "n", F.posexplode(F.filter("near", lambda x: x.isNotNull())).alias("k", "o"))
+    met = met.where(alike(F.col("n"), F.col("o.n"), up, down) & (F.col("node") != F.col("o.node")))
+    pairs = met.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(F.min("k").alias("k"))
+    pairs = cut(pairs)
     # first every line with the first of its bands; then the others, but for pairs that are already tied
-    tied = verify(once, pairs.where("star").select("a", "b"), up, down)
-    groups = components(tied)
+    tied = verify(once, pairs.where("k = 0").select("a", "b"), up, down)
+    rest = untied(pairs.where("k > 0"), components(tied))
+    more = cut(tied.union(verify(once, rest.select("a", "b"), up, down)))
+    groups = components(more)
+    return components(more.union(large(once, keys.where(F.col("size") > NEAR + 1), groups, up, down)))
+
+
+def untied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs that aren't of one component."""
     ga, gb = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.where("not star").select("a", "b").join(ga, "a", "left").join(gb, "b", "left").where("ca is null or cb is null or ca <> cb")
-    more = verify(once, cut(rest.select("a", "b")), up, down)
-    return components(tied.union(more))
+    return pairs.join(ga, "a", "left").join(gb, "b", "left").where("ca is null or cb is null or ca <> cb")
+
+
+def large(once: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
+    """Links (src, dst) between the components that large bands still hold: every pair of their lines is compared.
+
+    A band's lines are split by hash into blocks of about BLOCK, and each pair of blocks is a row.
+    """
+    named = keys.join(groups, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("c"))
+    open_ = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    named = named.join(open_, "key").select("key", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("b"))
+    held = named.join(once, "node").groupBy("key", "blocks", "b").agg(F.collect_list(F.struct("c", "s")).alias("own"))
+    held = cut(held)
+    left = held.select("key", "b", "own", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("o"))
+    right = held.select("key", F.col("b").alias("o"), F.col("own").alias("others"))
+    both = left.join(right, ["key", "o"])
+    fits = lambda x, y: (x["c"] < y["c"]) & alike(F.size(x["s"]), F.size(y["s"]), up, down) & similar(x["s"], y["s"], up, down)
+    met = lambda x, y: F.struct(x["c"].alias("src"), y["c"].alias("dst"))
+    found = lambda p, q: F.flatten(F.transform(p, lambda x: F.transform(F.filter(q, lambda y: fits(x, y)), lambda y: met(x, y))))
+    edges = F.array_distinct(F.concat(found(F.col("own"), F.col("others")), F.when(F.col("b") != F.col("o"), found(F.col("others"), F.col("own"))).otherwise(F.array().cast("array<struct<src:bigint,dst:bigint>>"))))
+    return cut(both.select(F.explode(edges).alias("e")).select("e.src", "e.dst").distinct())
 
 
 def verify(once: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
     """The pairs (as src, dst) of lines whose exact Jaccard similarity is up / down or more."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = once.join(wanted, "node", "left_semi")
-    left, right = texts.withColumnsRenamed({"node": "a", "line": "la"}), texts.withColumnsRenamed({"node": "b", "line": "lb"})
+    left, right = once.withColumnsRenamed({"node": "a", "s": "sa"}), once.withColumnsRenamed({"node": "b", "s": "sb"})
     both = pairs.join(left, "a").join(right, "b")
-    both = both.select("a", "b", F.array_distinct(strings(F.col("la"))).alias("sa"), F.array_distinct(strings(F.col("lb"))).alias("sb"))
-    # written before it is filtered: a filter pushed below would make the shingles anew for each use
-    both = cut(both.select("a", "b", similar("sa", "sb", up, down).alias("near")))
-    return both.where("near").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return cut(both.where(similar(F.col("sa"), F.col("sb"), up, down)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
