@@ -60,6 +60,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drawn(rows: DataFrame, n: int, total: int) -> list:
+    """At most n rows, the least by the hash in column _draw, out of a table of `total` rows.
+
+    About 1.3 n rows are collected whatever the table's size: those under a fixed share of the hash's range.
+    """
+    top = 2.0**63
+    limit = int(min(top - 1024, (min(1.0, 1.3 * n / max(1, total)) * 2 - 1) * top))
+    return sorted(rows.where(F.col("_draw") <= limit).collect(), key=lambda r: r["_draw"])[:n]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find over edges (src, dst): rows (node, component), component the smallest node.
 

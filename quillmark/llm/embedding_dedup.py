@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, ship, table
+from .common import components, cut, drawn, ship, table
 from .ngram_join import forest
 
 ship(__name__)
@@ -95,8 +95,8 @@ def search(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sam
     classes = cut(grouped.agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
     about = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.approx_count_distinct("label").alias("labels")).first()
     width = int(about["width"] or 1)
-    drawn = classes.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(sample)
-    got = [np.asarray(r["embedding"], float) for r in drawn.collect()]
+    taken = drawn(classes.select("embedding", F.xxhash64("node").alias("_draw")), sample, about["n"])
+    got = [np.asarray(r["embedding"], float) for r in taken]
     codewords = int(np.clip(math.sqrt(about["n"] / max(1, about["labels"]) / per_cell), 2, 64))
     model = train(got or [np.ones(width)], width, codewords)
     r2 = 2 - 2 * cosine
