@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, codepoints, lookup, ship, span_hashes, table
+from .common import chunked, codepoints, drawn, lookup, ship, span_hashes, table
 
 ship(__name__)
 
@@ -270,9 +270,11 @@ def scan(model: dict, texts: list) -> list:
 
 
 def fit(docs: DataFrame, sample: int = 400) -> dict:
-    """Train on at most `sample` texts, the first by hash of the text."""
-    rows = docs.where("text is not null").select("text", F.xxhash64("text", F.lit(9)).alias("_h")).orderBy("_h", "text").limit(sample).collect()
-    return train([r["text"] for r in rows])
+    """Train on at most `sample` different texts, the first by hash of the text."""
+    texts = docs.where("text is not null").select("text", F.xxhash64("text", F.lit(9)).alias("_draw"))
+    total = texts.count()
+    # equal texts fall under the share together, so one of each is collected
+    return train([r["text"] for r in drawn(texts.groupBy("_draw").agg(F.first("text").alias("text")), sample, total)])
 
 
 def named(spans: list) -> str:
