@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, drop_cut, table
 
 WIDTH, SKETCH, NEAR, BLOCK = 8, 10, 4, 64
 
@@ -68,8 +68,9 @@ def alike(n, m, up: int, down: int):
 def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """(node, component) of the lines that have a similar line."""
     once = lines(docs).groupBy("node").agg(F.min("line").alias("line"))
-    once = cut(once.select("node", strings(F.col("line")).alias("s")))
-    signed = once.select("node", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("s"))
+    once = once.select("node", "line", strings(F.col("line")).alias("s"))
+    once = cut(once.select("node", "line", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("s")))
+    signed = once.select("node", "n", "s")
     pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
     keys = signed.where("size(s) > 1").select("node", "n", F.element_at("s", 1).alias("low"), F.explode(pair).alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -81,12 +82,17 @@ def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     met = met.where(alike(F.col("n"), F.col("o.n"), up, down) & (F.col("node") != F.col("o.node")))
     pairs = met.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(F.min("k").alias("k"))
     pairs = cut(pairs)
+    # the shingles again, of the lines that meet others only: few, and they are larger than the text
+    wide = keys.where(F.col("size") > NEAR + 1)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide.select("node")).distinct()
+    sets = cut(once.select("node", "line").join(wanted, "node", "left_semi").select("node", strings(F.col("line")).alias("s")))
+    drop_cut(once)
     # first every line with the first of its bands; then the others, but for pairs that are already tied
-    tied = verify(once, pairs.where("k = 0").select("a", "b"), up, down)
+    tied = verify(sets, pairs.where("k = 0").select("a", "b"), up, down)
     rest = untied(pairs.where("k > 0"), components(tied))
-    more = cut(tied.union(verify(once, rest.select("a", "b"), up, down)))
+    more = cut(tied.union(verify(sets, rest.select("a", "b"), up, down)))
     groups = components(more)
-    return components(more.union(large(once, keys.where(F.col("size") > NEAR + 1), groups, up, down)))
+    return components(more.union(large(sets, wide, groups, up, down)))
 
 
 def untied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -95,7 +101,7 @@ def untied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.join(ga, "a", "left").join(gb, "b", "left").where("ca is null or cb is null or ca <> cb")
 
 
-def large(once: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
+def large(sets: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
     """Links (src, dst) between the components that large bands still hold: every pair of their lines is compared.
 
     A band's lines are split by hash into blocks of about BLOCK, and each pair of blocks is a row.
@@ -104,7 +110,7 @@ def large(once: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: in
     open_ = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     named = named.join(open_, "key").select("key", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("b"))
-    held = named.join(once, "node").groupBy("key", "blocks", "b").agg(F.collect_list(F.struct("c", "s")).alias("own"))
+    held = named.join(sets, "node").groupBy("key", "blocks", "b").agg(F.collect_list(F.struct("c", "s")).alias("own"))
     held = cut(held)
     left = held.select("key", "b", "own", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("o"))
     right = held.select("key", F.col("b").alias("o"), F.col("own").alias("others"))
@@ -116,9 +122,9 @@ def large(once: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: in
     return cut(both.select(F.explode(edges).alias("e")).select("e.src", "e.dst").distinct())
 
 
-def verify(once: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
+def verify(sets: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
     """The pairs (as src, dst) of lines whose exact Jaccard similarity is up / down or more."""
-    left, right = once.withColumnsRenamed({"node": "a", "s": "sa"}), once.withColumnsRenamed({"node": "b", "s": "sb"})
+    left, right = sets.withColumnsRenamed({"node": "a", "s": "sa"}), sets.withColumnsRenamed({"node": "b", "s": "sb"})
     both = pairs.join(left, "a").join(right, "b")
     return cut(both.where(similar(F.col("sa"), F.col("sb"), up, down)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
