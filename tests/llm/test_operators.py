@@ -197,3 +197,27 @@ def test_repeats_leave_their_first_copy(spark, docs, empty):
         want.setdefault(i, []).append((len(data), int(gone.sum()), hashlib.sha256(rest).hexdigest()))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert suffix_dedup.dedup(empty).count() == 0
+
+
+def test_lines_of_a_large_band_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(30)]
+    texts = []
+    for group in range(3):
+        own = base[:20] + [f"g{group}x{i}" for i in range(10)]
+        for i in range(12):
+            at = rng.sample(range(20, 30), i % 3)
+            texts.append(" ".join(f"n{i}y{k}" if k in at else w for k, w in enumerate(own)))
+
+    def grams(line):
+        words = line.split()
+        return {" ".join(words[i : i + 4])[:8] for i in range(len(words))}
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if len(a & b) * 5 >= len(a | b) * 4:
+                    root[i] = root[j] = min(root[i], root[j])
+    got = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in got.where("n_removed = 0").collect()} == set(root)
