@@ -1,57 +1,148 @@
-"""Fuzzy line deduplication by MinHash. DataFrame operations only.
+"""Fuzzy line deduplication by MinHash.
 
-A line is compared lower-cased and trimmed, its words parted by single spaces. Its shingles are strings of
-up to WIDTH characters: one from each start of a word; one that ends each word of more than WIDTH characters;
+A line is compared lower-cased, its words parted by single spaces. Its shingles are strings of up to WIDTH
+characters: one from each start of a word; one that ends each word of more than WIDTH characters;
 and, in a run of over twice as many, one from each character after the first WIDTH. All of a line is
 covered whatever its script. They are held as 64-bit hashes. A line's signature is the SKETCH least of
 them, and its bands the neighbouring pairs of the signature: two lines of similarity s keep a pair with a
 probability near s^2, and one of the pairs is enough. Every pair of lines that meets in a band is verified
-by exact Jaccard on all shingles, unless others tie it already: in signature order with the first and the
-NEAR before it, and in bands larger than that between all the components then left, by blocks.
+by exact Jaccard on all shingles, unless others tie it already: each line with the first of a band that it
+shares most bands with, then in signature order with the first and the NEAR before it, and in bands
+larger than that between all the components then left, by blocks.
 Links go through distributed union-find; of each component the line of least (doc_id, line number)
 stays, and all others go.
 
+Lines are cut and hashed by a vectorised Arrow function that reads whole texts once; a second reading makes the
+shingles of those lines only that share a band. All the rest is DataFrame operations.
+
 Equal lines are joined by hash before anything else, counted where they are read, so a line in a
-third of all documents is a row for each task. Lines of one shingle go with equal ones only. Blank lines are always kept and never compared. A null text has no lines, an empty
+third of all documents is a row for each task. Lines of one shingle go with equal ones only. Blank lines (white
+space only) are always kept and never compared. A null text has no lines, an empty
 one has one blank line. Null ids come before all others; rows equal in id and text are one document with
 one row. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop_cut, table
+from .common import as_long, chunked, codepoints, components, cut, drop_cut, mix, ship, table
+
+ship(__name__)
 
 WIDTH, SKETCH, NEAR, BLOCK = 8, 10, 4, 64
+#: Characters of lines handled at once; a longer line is handled alone.
+CHUNK = 1 << 18
+
+
+def cut_lines(text: str | None, only: set | None = None) -> list:
+    """(line number, line as compared) of the lines that aren't blank."""
+    if text is None:
+        return []
+    rows = ((k, " ".join(raw.lower().split())) for k, raw in enumerate(text.split("\n")) if only is None or k in only)
+    return [r for r in rows if r[1]]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... of size[i] numbers for each i."""
+    last = np.cumsum(size)
+    return np.arange(int(last[-1]) if len(last) else 0) + np.repeat(begin - (last - size), size)
+
+
+def line_shingles(lines: list) -> tuple:
+    """(hashes, first): the sorted distinct shingle hashes of line i are hashes[first[i]:first[i + 1]]."""
+    cp, starts, sizes = codepoints(lines)
+    blank = (cp == 32) | (cp == 10)
+    edge = np.diff(blank.astype(np.int8), prepend=1)
+    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    line = np.searchsorted(starts, begin, "right") - 1
+    stop = (starts + sizes)[line]
+    length = end - begin
+    tail = (length > WIDTH) & (length <= 2 * WIDTH)
+    run = length > 2 * WIDTH
+    inner = np.where(run, length - WIDTH, 0)
+    at = np.concatenate([begin, end[tail] - WIDTH, spread(begin + WIDTH, inner)])
+    to = np.concatenate([stop, end[tail], np.repeat(end, inner)])
+    line = np.concatenate([line, line[tail], np.repeat(line, inner)])
+    wide = np.append(cp.astype(np.uint64) + np.uint64(1), np.zeros(WIDTH, np.uint64))
+    value = np.zeros(len(at), np.uint64)
+    for k in range(WIDTH):
+        value = value * np.uint64(0x2545F4914F6CDD1D) + np.where(at + k < to, wide[at + k], np.uint64(0))
+    value = mix(value)
+    order = np.lexsort((value, line))
+    value, line = value[order], line[order]
+    new = np.ones(len(value), np.bool_)
+    new[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
+    value, line = value[new], line[new]
+    return value, np.searchsorted(line, np.arange(len(lines) + 1))
+
+
+def nodes(lines: list) -> np.ndarray:
+    """64-bit hash of each line."""
+    return np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines), np.int64)
+
+
+def listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
+
+
+def sketches(batches):
+    """A row for each line that isn't blank: where it is, node, number of shingles, least one, band keys."""
+    for batch in batches:
+        found = [(i, k, x) for i, t in enumerate(batch.column("text").to_pylist()) for k, x in cut_lines(t)]
+        texts = [x for _, _, x in found]
+        for a, b in chunked(texts, CHUNK):
+            value, first = line_shingles(texts[a:b])
+            n = np.diff(first)
+            pairs = np.minimum(n, SKETCH) - 1
+            i = spread(first[:-1], pairs)
+            keys = as_long(mix(value[i] * np.uint64(0x9E3779B97F4A7C15) + value[i + 1]))
+            owner = pa.array([f[0] for f in found[a:b]], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(owner),
+                    batch.column("text_hash").take(owner),
+                    pa.array([f[1] for f in found[a:b]], pa.int32()),
+                    pa.array(nodes(texts[a:b])),
+                    pa.array(n.astype(np.int32)),
+                    pa.array((value[first[:-1]] >> np.uint64(49)).astype(np.int16)),
+                    listed(keys, pairs),
+                ],
+                ["doc_id", "text_hash", "line_no", "node", "n", "low", "keys"],
+            )
+
+
+def full_sets(batches):
+    """node and shingles of the lines numbered in `wanted`."""
+    for batch in batches:
+        texts, wanted = batch.column("text").to_pylist(), batch.column("wanted").to_pylist()
+        lines = [x for t, w in zip(texts, wanted) for _, x in cut_lines(t, set(w))]
+        for a, b in chunked(lines, CHUNK):
+            value, first = line_shingles(lines[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes(lines[a:b])), listed(as_long(value), np.diff(first))], ["node", "s"])
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: doc_id, text_hash, line_no, line as compared, node."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
-    line = F.trim(F.lower("raw"))
-    return rows.select("doc_id", "text_hash", "line_no", line.alias("line")).where("line <> ''").withColumn("node", F.xxhash64("line", F.lit(5)))
-
-
-def bound(value, body):
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """A row for each line that isn't blank: doc_id, text_hash, line_no, node, n, low, keys."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return hashed(docs).mapInArrow(sketches, f"doc_id {kind}, text_hash long, line_no int, node long, n int, low short, keys array<long>")
 
 
-def strings(line):
-    """The distinct shingles of a line, hashed."""
-
-    def of(words):
-        heads = F.transform(words, lambda w, i: F.xxhash64(F.substring(F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, WIDTH // 2)]), 1, WIDTH)))
-        tails = F.transform(F.filter(words, lambda w: F.length(w).between(WIDTH + 1, 2 * WIDTH)), lambda w: F.xxhash64(F.substring(w, -WIDTH, WIDTH)))
-        runs = F.transform(F.filter(words, lambda w: F.length(w) > 2 * WIDTH), lambda w: bound(F.split(w, ""), windows))
-        return F.array_distinct(F.concat(heads, tails, F.flatten(runs)))
-
-    def windows(chars):
-        return F.transform(F.sequence(F.lit(WIDTH + 1), F.size(chars)), lambda i: F.xxhash64(F.concat_ws("", *[F.get(chars, i - 1 + k) for k in range(WIDTH)])))
-
-    return bound(F.array_remove(F.split(F.translate(line, "\t\r\f\v", "    "), " "), ""), of)
+def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, s) of the lines at (doc_id, text_hash, line_no): their texts are read again."""
+    w = places.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("wanted")).alias("w")
+    d = hashed(docs).alias("d")
+    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))).select("d.text", "w.wanted")
+    return texts.mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
 
 
 def similar(a, b, up: int, down: int):
@@ -65,14 +156,9 @@ def alike(n, m, up: int, down: int):
     return (F.least(n, m) * down) >= F.greatest(n, m) * up
 
 
-def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
-    """(node, component) of the lines that have a similar line."""
-    once = lines(docs).groupBy("node").agg(F.min("line").alias("line"))
-    once = once.select("node", "line", strings(F.col("line")).alias("s"))
-    once = cut(once.select("node", "line", F.size("s").alias("n"), F.slice(F.sort_array("s"), 1, SKETCH).alias("s")))
-    signed = once.select("node", "n", "s")
-    pair = F.transform(F.sequence(F.lit(1), F.size("s") - 1), lambda i: F.xxhash64(F.element_at("s", i), F.element_at("s", i + 1)))
-    keys = signed.where("size(s) > 1").select("node", "n", F.element_at("s", 1).alias("low"), F.explode(pair).alias("key"))
+def link(docs: DataFrame, once: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
+    """(node, component) of the lines that have a similar line; once is a row for each different line."""
+    keys = once.select("node", "n", "low", F.explode("keys").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keys = cut(keys.join(sizes, "key"))
     order = Window.partitionBy("key").orderBy("low", "node")
@@ -80,16 +166,16 @@ def link(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     near = F.array(F.first(peer).over(order), *[F.lag(peer, k).over(order) for k in range(1, NEAR + 1)])
     met = keys.select("node", "n", near.alias("near")).select("node", "n", F.posexplode(F.filter("near", lambda x: x.isNotNull())).alias("k", "o"))
     met = met.where(alike(F.col("n"), F.col("o.n"), up, down) & (F.col("node") != F.col("o.node")))
-    pairs = met.groupBy(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).agg(F.min("k").alias("k"))
-    pairs = cut(pairs)
-    # the shingles again, of the lines that meet others only: few, and they are larger than the text
+    pairs = cut(met.groupBy(F.col("node").alias("a"), F.col("o.node").alias("b")).agg(F.min("k").alias("k"), F.count("*").alias("bands")))
+    # the shingles of lines that meet others only: few, and they are larger than the text
     wide = keys.where(F.col("size") > NEAR + 1)
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide.select("node")).distinct()
-    sets = cut(once.select("node", "line").join(wanted, "node", "left_semi").select("node", strings(F.col("line")).alias("s")))
-    drop_cut(once)
-    # first every line with the first of its bands; then the others, but for pairs that are already tied
-    tied = verify(sets, pairs.where("k = 0").select("a", "b"), up, down)
-    rest = untied(pairs.where("k > 0"), components(tied))
+    sets = cut(sets_of(docs, once.join(wanted, "node", "left_semi").select("place.*")))
+    # first every line with the one it shares most bands with; then the others, but for pairs that are already tied
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("k"), "b")).alias("b"))
+    tied = verify(sets, best, up, down)
+    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = untied(rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), components(tied))
     more = cut(tied.union(verify(sets, rest.select("a", "b"), up, down)))
     groups = components(more)
     return components(more.union(large(sets, wide, groups, up, down)))
@@ -131,13 +217,15 @@ def verify(sets: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_lines, n_removed, removed (line numbers from 0)."""
-    linked = link(docs, up, down)
     place = F.struct("doc_id", "text_hash", "line_no")
-    firsts = lines(docs).groupBy("node").agg(F.min(place).alias("place"))
-    firsts = cut(firsts.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    all_lines = cut(lines(docs))
+    once = cut(all_lines.groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys")))
+    linked = link(docs, once, up, down)
+    firsts = cut(once.select("node", "place").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    drop_cut(once)
     best = firsts.groupBy("component").agg(F.min("place").alias("best"), F.count("*").alias("nodes"))
     kept = firsts.join(best, "component").select("node", "best")
-    own = lines(docs).select("doc_id", "text_hash", "line_no", "node")
+    own = all_lines.select("doc_id", "text_hash", "line_no", "node")
     gone = own.join(kept, "node").where(~place.eqNullSafe(F.col("best")))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
     all_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
