@@ -173,46 +173,56 @@ def link(docs: DataFrame, once: DataFrame, up: int = 4, down: int = 5) -> DataFr
     sets = cut(sets_of(docs, once.join(wanted, "node", "left_semi").select("place.*")))
     # first every line with the one it shares most bands with; then the others, but for pairs that are already tied
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("k"), "b")).alias("b"))
-    tied = verify(sets, best, up, down)
-    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = untied(rest.join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), components(tied))
-    more = cut(tied.union(verify(sets, rest.select("a", "b"), up, down)))
-    groups = components(more)
-    return components(more.union(large(sets, wide, groups, up, down)))
+    tied = verify(sets, best.withColumns({"src": F.col("a"), "dst": F.col("b")}), up, down)
+    groups = components(tied)
+    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    rest = pairs.select(least, most).distinct().join(best.select(least, most), ["a", "b"], "left_anti")
+    groups = joined(groups, verify(sets, untied(rest, groups), up, down))
+    return joined(groups, large(sets, wide, groups, up, down))
+
+
+def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """The groups after more edges (src, dst) between their components, or nodes that have none yet."""
+    more = components(edges)
+    old = groups.join(more.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left")
+    new = more.join(groups, "node", "left_anti").select("node", "component")
+    return cut(old.select("node", F.coalesce("root", "component").alias("component")).union(new))
 
 
 def untied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs that aren't of one component."""
+    """The pairs (a, b) that aren't of one component, with the components as src and dst."""
     ga, gb = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(ga, "a", "left").join(gb, "b", "left").where("ca is null or cb is null or ca <> cb")
+    named = pairs.join(ga, "a", "left").join(gb, "b", "left")
+    return named.select("a", "b", F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst")).where("src <> dst")
 
 
 def large(sets: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
-    """Links (src, dst) between the components that large bands still hold: every pair of their lines is compared.
+    """Links (src, dst) between the components that large bands still hold: all their pairs of lines are compared.
 
-    A band's lines are split by hash into blocks of about BLOCK, and each pair of blocks is a row.
+    In a band the lines outside its most frequent component are compared with all the others, so a band of
+    one large component and few other lines takes time in proportion to its lines. Both sides
+    are split by hash into blocks of about BLOCK, and each pair of blocks is a row.
     """
-    named = keys.join(groups, "node", "left").select("key", "node", "n", "size", F.coalesce("component", "node").alias("c"))
-    open_ = named.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    named = named.join(open_, "key").select("key", "node", "c", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("b"))
-    held = named.join(sets, "node").groupBy("key", "blocks", "b").agg(F.collect_list(F.struct("c", "s")).alias("own"))
-    held = cut(held)
-    left = held.select("key", "b", "own", F.explode(F.sequence("b", F.col("blocks") - 1)).alias("o"))
-    right = held.select("key", F.col("b").alias("o"), F.col("own").alias("others"))
+    named = keys.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    open_ = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.max("m").alias("m"))
+    open_ = open_.where("m < size").select("key", "top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("few"))
+    named = cut(named.join(open_, "key").join(sets, "node").select("key", "c", "s", "blocks", "few", (F.col("c") == F.col("top")).alias("is_top"), F.xxhash64("node").alias("h")))
+    line = F.struct("c", "is_top", "s")
+    left = named.where("not is_top").groupBy("key", "blocks", F.pmod("h", "few").alias("b")).agg(F.collect_list(line).alias("own"))
+    left = left.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    right = named.groupBy("key", F.pmod("h", "blocks").cast("int").alias("o")).agg(F.collect_list(line).alias("others"))
     both = left.join(right, ["key", "o"])
-    fits = lambda x, y: (x["c"] < y["c"]) & alike(F.size(x["s"]), F.size(y["s"]), up, down) & similar(x["s"], y["s"], up, down)
-    met = lambda x, y: F.struct(x["c"].alias("src"), y["c"].alias("dst"))
-    found = lambda p, q: F.flatten(F.transform(p, lambda x: F.transform(F.filter(q, lambda y: fits(x, y)), lambda y: met(x, y))))
-    edges = F.array_distinct(F.concat(found(F.col("own"), F.col("others")), F.when(F.col("b") != F.col("o"), found(F.col("others"), F.col("own"))).otherwise(F.array().cast("array<struct<src:bigint,dst:bigint>>"))))
-    return cut(both.select(F.explode(edges).alias("e")).select("e.src", "e.dst").distinct())
+    fits = lambda x, y: (y["is_top"] | (x["c"] < y["c"])) & alike(F.size(x["s"]), F.size(y["s"]), up, down) & similar(x["s"], y["s"], up, down)
+    edges = F.flatten(F.transform("own", lambda x: F.transform(F.filter("others", lambda y: fits(x, y)), lambda y: F.struct(x["c"].alias("src"), y["c"].alias("dst")))))
+    return cut(both.select(F.explode(F.array_distinct(edges)).alias("e")).select("e.src", "e.dst").distinct())
 
 
 def verify(sets: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
-    """The pairs (as src, dst) of lines whose exact Jaccard similarity is up / down or more."""
+    """src and dst of the pairs (a, b) of lines whose exact Jaccard similarity is up / down or more."""
     left, right = sets.withColumnsRenamed({"node": "a", "s": "sa"}), sets.withColumnsRenamed({"node": "b", "s": "sb"})
     both = pairs.join(left, "a").join(right, "b")
-    return cut(both.where(similar(F.col("sa"), F.col("sb"), up, down)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return cut(both.where(similar(F.col("sa"), F.col("sb"), up, down)).select("src", "dst"))
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
