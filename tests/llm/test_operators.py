@@ -221,3 +221,56 @@ def test_lines_of_a_large_band_equal_brute_force(spark):
                     root[i] = root[j] = min(root[i], root[j])
     got = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id for r in got.where("n_removed = 0").collect()} == set(root)
+
+
+def plain_shingles(line):
+    """The strings that a line is compared by, written plainly."""
+    words, out, at = line.split(" "), set(), 0
+    for w in words:
+        out.add(line[at : at + 8])
+        if 8 < len(w) <= 16:
+            out.add(w[-8:])
+        if len(w) > 16:
+            out.update(w[i : i + 8] for i in range(8, len(w)))
+        at += len(w) + 1
+    return out
+
+
+def test_lines_of_documents_equal_brute_force(spark):
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    first = {}
+    for r in source.orderBy("doc_id").collect():
+        for k, raw in enumerate((r.text or "").split("\n")):
+            line = " ".join(raw.lower().split())
+            if line:
+                first.setdefault(line, []).append((r.doc_id, k))
+    texts = list(first)
+    sets, root = [plain_shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    by_size = sorted(range(len(texts)), key=lambda i: len(sets[i]))
+    for x, i in enumerate(by_size):
+        for j in by_size[x + 1 :]:
+            if 5 * len(sets[i]) < 4 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    best = {}
+    for i, t in enumerate(texts):
+        best[top(i)] = min(best.get(top(i), first[t][0]), first[t][0])
+    want = {(d, k) for i, t in enumerate(texts) for d, k in first[t] if (d, k) != best[top(i)]}
+    got = {(r.doc_id, k) for r in line_dedup.dedup(source).collect() for k in r.removed}
+    assert got == want
+
+
+def test_lines_of_blanks_and_of_no_documents(spark, empty):
+    rows = [(1, "\t \n\r\n  a\tB  \n"), (2, "A b"), (2, "A b"), (3, "漢字" * 30), (4, "漢字" * 30 + "x")]
+    got = {(r.doc_id, r.n_lines, tuple(r.removed)) for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(1, 4, ()), (2, 1, (0,)), (3, 1, ())} <= got
+    assert line_dedup.dedup(empty).count() == 0
