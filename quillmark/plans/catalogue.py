@@ -174,6 +174,33 @@ SELECT lang, kind, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT doc
 
 both("digit_numbers", "SELECT doc_id, value, CAST(count(*) AS BIGINT) AS times FROM {doc_numbers} GROUP BY doc_id, value")
 
+#: Units that look like acronyms and are no terms.
+UNIT_NAMES = (
+    "MPa", "GPa", "TPa", "MeV", "GeV", "TeV", "MHz", "GHz", "THz",
+    "MW", "GW", "TW", "MWh", "GWh", "TWh", "MJ", "GJ", "TB", "GB", "MB",
+)
+#: Characters of a term after its first letter, and marks cut off at its end.
+TERM = "[A-Za-z][A-Za-z0-9²³¹⁰-₟.]*"
+RAISED = "²³¹⁰ⁱ⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿ"
+
+
+def terms_sql(found: str, matches: str, units: str) -> str:
+    """The different names of a document: two capitals, or one and a digit."""
+    bare = f"regexp_replace(regexp_replace(raw, '[.]+$', ''), '[{RAISED}]+$', '')"
+    names = ", ".join(f"'{u}'" for u in UNIT_NAMES)
+    return f"""
+SELECT DISTINCT doc_id, term FROM (SELECT doc_id, {bare} AS term FROM (SELECT doc_id, {found} AS raw FROM {units}))
+WHERE ({matches}(term, '[A-Z].*[A-Z]') OR ({matches}(term, '[A-Z]') AND {matches}(term, '[0-9²³¹⁰⁴-⁹₀-₉]'))) AND term NOT IN ({names})"""
+
+
+per_engine("doc_terms", terms_sql(f"explode(regexp_extract_all(text, '{TERM}', 0))", "regexp_like", "{units}"), terms_sql(f"unnest(regexp_extract_all(text, '{TERM}'))", "regexp_matches", "units"))
+
+both("length_audit", """
+SELECT doc_id, CAST(sum(n_words) AS BIGINT) AS words, CAST(count(*) AS BIGINT) AS sentences, CAST(sum(CASE WHEN n_words <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS short,
+ CAST(sum(CASE WHEN n_words > 16 THEN 1 ELSE 0 END) AS BIGINT) AS long, max(n_words) AS longest, CAST(sum(n_words) AS DOUBLE) / count(*) AS mean_words,
+ CAST(sum(length(text) - length(replace(text, ';', ''))) AS BIGINT) AS semicolons, CAST(sum(length(text) - length(replace(text, ':', ''))) AS BIGINT) AS colons
+FROM {units} GROUP BY doc_id""")
+
 both("new_numbers", """
 WITH t AS (SELECT DISTINCT conv_id, turn, value FROM {turn_numbers}), m AS (SELECT conv_id, max(turn) AS last FROM {conversations} GROUP BY conv_id)
 SELECT a.conv_id, a.turn, a.value FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND a.value = b.value WHERE a.turn > 0 AND b.value IS NULL""")
