@@ -1,9 +1,7 @@
 """Fuzzy line deduplication by MinHash.
 
-A line is compared lower-cased, its words parted by single spaces. Its shingles are strings of up to WIDTH
-characters: one from each start of a word; one that ends each word of more than WIDTH characters;
-and, in a run of over twice as many, one from each character after the first WIDTH. All of a line is
-covered whatever its script. They are held as 64-bit hashes. A line's signature is the SKETCH least of
+A line is compared lower-cased, its words parted by single spaces. Its shingles are the strings of WIDTH
+characters at every position; a shorter line has one shingle, all of it. They are held as 64-bit hashes. A line's signature is the SKETCH least of
 them, and its bands the neighbouring pairs of the signature: two lines of similarity s keep a pair with a
 probability near s^2, and one of the pairs is enough. Every pair of lines that meets in a band is verified
 by exact Jaccard on all shingles, unless others tie it already: each line with the first of a band that it
@@ -57,18 +55,9 @@ def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def line_shingles(lines: list) -> tuple:
     """(hashes, first): the sorted distinct shingle hashes of line i are hashes[first[i]:first[i + 1]]."""
     cp, starts, sizes = codepoints(lines)
-    blank = (cp == 32) | (cp == 10)
-    edge = np.diff(blank.astype(np.int8), prepend=1)
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    line = np.searchsorted(starts, begin, "right") - 1
-    stop = (starts + sizes)[line]
-    length = end - begin
-    tail = (length > WIDTH) & (length <= 2 * WIDTH)
-    run = length > 2 * WIDTH
-    inner = np.where(run, length - WIDTH, 0)
-    at = np.concatenate([begin, end[tail] - WIDTH, spread(begin + WIDTH, inner)])
-    to = np.concatenate([stop, end[tail], np.repeat(end, inner)])
-    line = np.concatenate([line, line[tail], np.repeat(line, inner)])
+    n = np.where(sizes > 0, np.maximum(1, sizes - WIDTH + 1), 0)
+    at = spread(starts, n)
+    to, line = np.repeat(starts + sizes, n), np.repeat(np.arange(len(lines)), n)
     wide = np.append(cp.astype(np.uint64) + np.uint64(1), np.zeros(WIDTH, np.uint64))
     value = np.zeros(len(at), np.uint64)
     for k in range(WIDTH):
