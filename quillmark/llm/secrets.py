@@ -31,6 +31,8 @@ ship(__name__)
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 SHAPES, WORDS, FILES = 8 * 4 * 3 * 2 * 2 * 2 + 64, 1 << 15, 16
+#: Tokens of a line that training takes at once; a longer line is trained on in several windows.
+WINDOW = 256
 
 
 def base_spans(text: str) -> list:
@@ -204,13 +206,13 @@ def train(texts: list, epochs: int = 5, batch: int = 64, seed: int = 11, max_lin
             if len(k):
                 tags[k] = 2
                 tags[k[0]] = 1
+    cuts = [np.arange(a, b, WINDOW) for a, b in zip(where[:-1], where[1:], strict=True)]
+    windows = [np.arange(a, min(a + WINDOW, b)) for own, b in zip(cuts, where[1:], strict=True) for a in own]
     f = tok["f"]
     square = [np.full_like(w, 1e-2) for w in model["w"]] + [np.full((3, 3), 1e-2)]
     for _ in range(epochs):
-        for part in np.array_split(rng.permutation(len(lines)), max(1, len(lines) // batch)):
-            at = [np.arange(where[i], min(where[i + 1], where[i] + 256)) for i in part if where[i + 1] > where[i]]
-            if not at:
-                continue
+        for part in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // batch)):
+            at = [windows[i] for i in part]
             at.sort(key=len, reverse=True)
             size = np.array([len(x) for x in at])
             grid = np.zeros((len(at), size[0]), np.int64)
@@ -272,8 +274,8 @@ def scan(model: dict, texts: list) -> list:
 def fit(docs: DataFrame, sample: int = 400) -> dict:
     """Train on at most `sample` different texts, the first by hash of the text."""
     texts = docs.where("text is not null").select("text", F.xxhash64("text", F.lit(9)).alias("_draw"))
-    total = texts.count()
-    # equal texts fall under the share together, so one of each is collected
+    # equal texts fall under the share together, so one of each is collected and different ones are counted
+    total = texts.select("_draw").distinct().count()
     return train([r["text"] for r in drawn(texts.groupBy("_draw").agg(F.first("text").alias("text")), sample, total)])
 
 

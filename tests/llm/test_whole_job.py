@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("quillmark.llm")
-from quillmark.llm import line_dedup  # noqa: E402
+from quillmark.llm import line_dedup, secrets  # noqa: E402
 
 
 def every_shingle(line):
@@ -67,3 +67,17 @@ def test_lines_of_a_large_band_equal_brute_force_at_every_position(spark):
             texts.append(" ".join(f"n{i}y{k}" if k in at else w for k, w in enumerate(own)))
     got = line_dedup.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert {r.doc_id for r in got.where("n_removed = 0").collect()} == set(least_lines(texts, list(range(len(texts)))))
+
+
+def test_secret_sample_has_its_size_whatever_the_copies(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "train", lambda texts: texts)
+    docs = spark.range(60000).selectExpr("id AS doc_id", "concat('text ', id % 600) AS text")
+    drawn = secrets.fit(docs)
+    assert len(drawn) == len(set(drawn)) == 400
+    assert secrets.fit(docs.limit(0)) == []
+
+
+def test_secret_training_reads_the_rest_of_long_lines():
+    model = secrets.train([" ".join(["plain"] * 600 + ["zebra"] + ["plain"] * 9)] * 20)
+    before = secrets.tokens(["zebra plain"])["f"][1][1]
+    assert np.abs(model["w"][1][before]).max() > 0
