@@ -266,11 +266,75 @@ FROM r GROUP BY feature""")
 
 # --- matching of flags to units (G1): prefixes first, substrings for what is left -----------------
 
+# prefixes only, of every fifth sentence, as its SQL has it; flag_match_all and unmatched are the whole of G1
 both("flag_match", """
 WITH u AS (SELECT doc_id, pos, text FROM {units} WHERE length(text) >= 12), k AS (SELECT doc_id, pos AS line_no, substring(text, 1, 24) AS flag FROM u WHERE pos % 5 = 1)
 SELECT k.doc_id, k.line_no, u.pos FROM k JOIN u ON k.doc_id = u.doc_id AND (starts_with(u.text, k.flag) OR starts_with(k.flag, u.text))""".replace("starts_with", "startswith"))
 ORACLE["flag_match"] = ORACLE["flag_match"].replace("startswith", "starts_with")
 
+#: The fewest characters of a flag; a section number before a heading, with the letter after it.
+LEAST_FLAG = 12
+ENUMERATOR = "^[ \\t]*(([IVXLC]+|[A-Z])[.]|[0-9]+([.][0-9]+)*[.]?)[ \\t]+([A-Za-z])"
+
+
+def flag_key(text):
+    """A flag or sentence as compared: without a section number, lower-cased, runs of other characters as one blank."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(text, ENUMERATOR, "$4")), "[^a-z0-9]+", " "))
+
+
+def match_flags(units, flags):
+    """G1 of units (doc_id, pos, text) and flags (doc_id, line_no, flag): (matches, flags that match nothing).
+
+    A flag goes to every sentence that one is a prefix of the other with, and if there is none, to every
+    sentence that holds it. Both then share their first LEAST_FLAG characters, by which prefixes are joined.
+    """
+    k = flags.select("doc_id", "line_no", flag_key(F.col("flag")).alias("key")).where(F.length("key") >= LEAST_FLAG)
+    s = units.select("doc_id", "pos", flag_key(F.col("text")).alias("s"))
+    start = lambda c: F.substring(c, 1, LEAST_FLAG).alias("start")
+    prefix = (F.col("k.doc_id") == F.col("s.doc_id")) & (F.col("k.start") == F.col("s.start")) & (F.startswith("s.s", "k.key") | F.startswith("k.key", "s.s"))
+    near = k.select("*", start("key")).alias("k").join(s.select("*", start("s")).alias("s"), prefix, "left")
+    near = near.select("k.doc_id", "k.line_no", "s.pos", F.when(F.col("s.pos").isNull(), F.col("k.key")).alias("key")).alias("n")
+    holds = (F.col("n.doc_id") == F.col("s.doc_id")) & F.col("n.pos").isNull() & F.contains("s.s", "n.key")
+    found = near.join(s.alias("s"), holds, "left").select("n.doc_id", "n.line_no", F.coalesce("n.pos", "s.pos").alias("pos"), "n.key")
+    return found.where("pos is not null").drop("key"), found.where("pos is null").drop("pos")
+
+
+#: Three made flags of each sentence: its beginning, its middle, and its beginning after what no sentence has.
+FLAGS = ("substring(text, 1, 24)", "substring(text, 13, 24)", "concat('zq', substring(text, 1, 24))")
+
+
+def made_flags(units):
+    rows = units.select("doc_id", "pos", F.posexplode(F.array(*[F.expr(x) for x in FLAGS])).alias("i", "flag"))
+    return rows.select("doc_id", F.expr("pos * 3 + i").alias("line_no"), "flag")
+
+
+def flag_match_all(spark, sf_dir):
+    """G1: the sentences of every flag of every sentence, prefixes first and then substrings."""
+    units = build(spark, sf_dir, "units")
+    return match_flags(units, made_flags(units))[0]
+
+
+def unmatched(spark, sf_dir):
+    """G1: the flags that match no sentence."""
+    units = build(spark, sf_dir, "units")
+    return match_flags(units, made_flags(units))[1]
+
+
+def duck_flags(body: str) -> str:
+    key = lambda t: f"trim(regexp_replace(lower(regexp_replace({t}, '{ENUMERATOR}', '\\4')), '[^a-z0-9]+', ' ', 'g'))"
+    made = " UNION ALL ".join(f"SELECT doc_id, pos * 3 + {i} AS line_no, {x} AS flag FROM units" for i, x in enumerate(FLAGS))
+    return f"""WITH {DUCK['units']}, s AS (SELECT doc_id, pos, {key('text')} AS s FROM units),
+ k AS (SELECT * FROM (SELECT doc_id, line_no, {key('flag')} AS key FROM ({made})) WHERE length(key) >= {LEAST_FLAG}),
+ near AS (SELECT k.doc_id, k.line_no, s.pos FROM k JOIN s ON k.doc_id = s.doc_id AND (starts_with(s.s, k.key) OR (length(s.s) >= {LEAST_FLAG} AND starts_with(k.key, s.s)))),
+ rest AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.doc_id = k.doc_id AND n.line_no = k.line_no)),
+ held AS (SELECT r.doc_id, r.line_no, s.pos FROM rest r JOIN s ON r.doc_id = s.doc_id AND contains(s.s, r.key))
+{body}"""
+
+
+QUERIES["flag_match_all"], QUERIES["unmatched"] = flag_match_all, unmatched
+ORACLE["flag_match_all"] = duck_flags("SELECT * FROM near UNION ALL SELECT * FROM held")
+ORACLE["unmatched"] = duck_flags("SELECT doc_id, line_no, key FROM rest WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.doc_id = rest.doc_id AND h.line_no = rest.line_no)")
+
 # --- text transforms (H) and scrubs (A16) -------------------------------------------------------
 
 #: Ordered rewrite rules as data: pattern, replacement with group n as \n.
