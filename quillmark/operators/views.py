@@ -46,10 +46,32 @@ def numbers(texts: DataFrame, *keys: str) -> DataFrame:
     rows = texts.select(*keys, F.explode(words(F.regexp_replace("text", r"[\n\t\r]", " "))).alias("w"))
     bare = F.regexp_replace("w", r"[.,;:!?)\]]+$", "")
     rows = rows.select(*keys, bare.alias("w")).where(F.col("w").rlike(r"^[0-9]+(,[0-9][0-9][0-9])*([.][0-9]+)?$"))
-    plain = F.regexp_replace("w", ",", "")
+    return rows.select(*keys, canonical("w").alias("value"))
+
+
+def canonical(number):
+    """One form of a number: without commas, leading zeros and zeros at a fraction's end."""
+    plain = F.regexp_replace(number, ",", "")
     plain = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "[.]$", "")).otherwise(plain)
-    plain = F.regexp_replace(F.regexp_replace(plain, "^0+", ""), "^([.]|$)", "0$1")
-    return rows.select(*keys, plain.alias("value"))
+    return F.regexp_replace(F.regexp_replace(plain, "^0+", ""), "^([.]|$)", "0$1")
+
+
+#: Digits glued to a letter, a digit or a formula mark, or to a letter and hyphen, are no number.
+DIGITS = r"(?<![A-Za-z0-9_^{/.])(?<![A-Za-z]-)([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)([.][0-9]+)?"
+
+
+def digits(texts: DataFrame, *keys: str) -> DataFrame:
+    """One row for each number of C1 wherever it stands, within words too, in canonical form."""
+    rows = texts.select(*keys, F.explode(F.regexp_extract_all("text", F.lit(DIGITS), F.lit(0))).alias("w"))
+    return rows.select(*keys, canonical(F.col("w")).alias("value"))
+
+
+def duck_digits(name: str, keys: str, source: str) -> str:
+    """digits() for DuckDB: RE2 has no look-behind, so glued digits are consumed and leave an empty group."""
+    found = r"(?:[A-Za-z]-|[A-Za-z_^{/.])[0-9]+|((?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:[.][0-9]+)?)[0-9]*"
+    return rf"""{name} AS (SELECT {keys}, CASE WHEN p = '' OR starts_with(p, '.') THEN '0' || p ELSE p END AS value
+ FROM (SELECT {keys}, regexp_replace(CASE WHEN contains(c, '.') THEN regexp_replace(regexp_replace(c, '0+$', ''), '[.]$', '') ELSE c END, '^0+', '') AS p
+  FROM (SELECT {keys}, replace(w, ',', '') AS c FROM (SELECT {keys}, unnest(regexp_extract_all(text, '{found}', 1)) AS w FROM {source}) WHERE w <> '')))"""
 
 
 DUCK = {
@@ -69,6 +91,8 @@ DUCK = {
   FROM (SELECT doc_id, replace(w, ',', '') AS c FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(text, '[\n\t\r]', ' ', 'g'), ' ')), '[.,;:!?)\]]+$', '') AS w FROM documents)
    WHERE regexp_matches(w, '^[0-9]+(,[0-9][0-9][0-9])*([.][0-9]+)?$'))))""",
     "turn_words": r"""turn_words AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS tok FROM conversations)""",
+    "doc_digits": duck_digits("doc_digits", "doc_id", "documents"),
+    "turn_digits": duck_digits("turn_digits", "conv_id, turn", "conversations"),
 }
 
 
@@ -83,6 +107,10 @@ def build(spark, sf_dir: str, name: str) -> DataFrame:
         return numbers(read("conversations"), "conv_id", "turn")
     if name == "doc_numbers":
         return numbers(read("documents"), "doc_id")
+    if name == "doc_digits":
+        return digits(read("documents"), "doc_id")
+    if name == "turn_digits":
+        return digits(read("conversations"), "conv_id", "turn")
     if name == "turn_words":
         found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
         return read("conversations").select("conv_id", "turn", F.explode(found).alias("tok"))

@@ -174,6 +174,16 @@ SELECT lang, kind, CAST(count(*) AS BIGINT) AS findings, CAST(count(DISTINCT doc
 
 both("digit_numbers", "SELECT doc_id, value, CAST(count(*) AS BIGINT) AS times FROM {doc_numbers} GROUP BY doc_id, value")
 
+# digit_numbers, new_numbers and missing_numbers take whole words only, as their SQL has it; the next three take all numbers of C1
+both("all_numbers", "SELECT doc_id, value, CAST(count(*) AS BIGINT) AS times FROM {doc_digits} GROUP BY doc_id, value")
+both("all_new_numbers", """
+WITH t AS (SELECT DISTINCT conv_id, turn, value FROM {turn_digits})
+SELECT a.conv_id, a.turn, a.value FROM t a LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND a.value = b.value WHERE a.turn > 0 AND b.value IS NULL""")
+both("all_missing_numbers", """
+WITH t AS (SELECT DISTINCT conv_id, turn, value FROM {turn_digits})
+SELECT a.conv_id, a.turn, a.value FROM t a JOIN (SELECT DISTINCT conv_id, turn FROM {conversations}) n ON n.conv_id = a.conv_id AND n.turn = a.turn + 1
+LEFT JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.value = b.value WHERE b.value IS NULL""")
+
 #: Units that look like acronyms and are no terms.
 UNIT_NAMES = (
     "MPa", "GPa", "TPa", "MeV", "GeV", "TeV", "MHz", "GHz", "THz",

@@ -1,5 +1,10 @@
 """Flags and numbers on what the first queries leave out."""
 
+import re
+
+import duckdb
+
+from quillmark.operators import views
 from quillmark.plans import catalogue
 
 
@@ -24,3 +29,32 @@ def test_every_sentence_has_flags(spark):
     keys = units.where(catalogue.F.length(catalogue.flag_key(catalogue.F.substring("text", 1, 24))) >= 12)
     assert keys.join(own, ["doc_id", "pos"], "left_anti").count() == 0
     assert catalogue.unmatched(spark, sf).where("key LIKE 'zq%'").count() > 0
+
+
+def test_numbers_within_words_and_beside_marks(spark):
+    texts = ['(1998), "42", 50%, +1, $7, -3, 42-50, 555-6869', "Li6.4 O12 cm-2 m^{1/2} x_3 a/4 .5 b12,345 12ab34", "3,860 3860 7.0 007 0.50 1.2.5 3,8601 1,2 12,345.60, 1234,567", "", "é12 1-2-x-3 9", None]
+    want = [
+        ["1998", "42", "50", "1", "7", "3", "42", "50", "555", "6869"],
+        ["345", "12"],
+        ["3860", "3860", "7", "7", "0.5", "1.2", "3860", "1", "2", "12345.6", "1234", "567"],
+        [],
+        ["12", "1", "2", "9"],
+        [],
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in views.digits(docs, "doc_id").collect():
+        got.setdefault(r.doc_id, []).append(r.value)
+    assert [sorted(got.get(i, [])) for i in range(len(texts))] == [sorted(x) for x in want]
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    rows = con.sql(f"WITH {views.DUCK['doc_digits']} SELECT doc_id, value FROM doc_digits").fetchall()
+    assert sorted(rows) == sorted((i, v) for i, x in enumerate(want) for v in x)
+
+
+def test_numbers_of_documents_are_all_found(spark):
+    sf = "/root/testdata/sf0.001"
+    pattern = re.compile(views.DIGITS)
+    want = {r.doc_id: len(pattern.findall(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null").collect()}
+    got = {r.doc_id: r["sum(times)"] for r in catalogue.QUERIES["all_numbers"](spark, sf).groupBy("doc_id").sum("times").collect()}
+    assert got == {k: n for k, n in want.items() if n}
