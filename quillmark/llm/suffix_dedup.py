@@ -1,9 +1,9 @@
-"""Removal of long repeats: longest-previous-factor values in suffix order, over all documents.
+"""Removal of long repeats: equal windows of `length` bytes grouped exactly, over all documents.
 
-A byte goes if a string of `length` bytes that covers it also starts in a document of smaller doc_id. In
-suffix order, equal strings of that length stand together (their longest common prefix reaches it),
-and the previous and next smaller document there give the longest earlier match. One suffix array
-of a whole corpus can't be built in one place, so its positions are dealt out by content:
+A byte goes if a string of `length` bytes that covers it also starts in a document of smaller doc_id. Sorted
+by their bytes, equal strings of that length stand together, and the least document of such a group decides
+for all of it; longest previous factors are not computed, for how far a match goes on doesn't matter. One
+sort of a whole corpus can't be done in one place, so its positions are dealt out by content:
 
 1. Documents are dealt into chunks by hash. A position's key is the least hash of the GRAM-byte
    strings in its window of `length` bytes, so equal windows have equal keys wherever they are, and
@@ -11,8 +11,8 @@ of a whole corpus can't be built in one place, so its positions are dealt out by
 2. Each chunk sends its distinct keys to buckets; a bucket answers which occur in other chunks.
    Only contexts whose key occurs in two documents go on.
 3. Each chunk sends those contexts, equal ones once with their least and greatest doc_id. A bucket
-   sorts all positions of its contexts in suffix order, by their bytes, finds where the common prefix
-   reaches `length`, and answers with the least document there.
+   sorts the windows at all positions of its contexts by their bytes, groups equal ones, and answers with
+   the least document of each group.
 4. Each chunk marks the bytes of later copies and cuts them out.
 
 All messages are packed arrays, a row for a chunk and bucket. Equal keys of a chunk are sent once, so a
@@ -135,7 +135,7 @@ def contexts(ids, known, texts, length: int, buckets: int, answers: dict) -> tup
 def earliest(data: np.ndarray, start: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """For each position in data the least id over the positions whose next `length` bytes are equal.
 
-    Suffix order by 8-byte words of the bytes; a common prefix of `length` makes a group.
+    Windows are sorted by their 8-byte words; equal ones make a group.
     """
     padded = np.append(data, np.zeros(8, np.uint8))
     words = []
