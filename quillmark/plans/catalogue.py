@@ -223,6 +223,13 @@ WITH w AS (SELECT conv_id, turn, count(*) AS n FROM {turn_words} GROUP BY conv_i
 SELECT a.conv_id, a.turn, CAST(a.n AS BIGINT) AS source_words, CAST(b.n AS BIGINT) AS draft_words, b.n * 100.0e0 / a.n AS retention,
  CASE WHEN b.n * 100 < 95 * a.n THEN 'FAIL' WHEN b.n * 100 > 110 * a.n THEN 'WARN' ELSE 'OK' END AS verdict
 FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+# retention gives no row where a turn has no words; here every source turn with a next turn has one, 0 for an empty source
+both("retention_all", """
+WITH n AS (SELECT conv_id, turn, count(*) AS n FROM {turn_words} GROUP BY conv_id, turn),
+ t AS (SELECT c.conv_id, c.turn, coalesce(n.n, 0) AS n FROM (SELECT DISTINCT conv_id, turn FROM {conversations}) c LEFT JOIN n ON c.conv_id = n.conv_id AND c.turn = n.turn),
+ r AS (SELECT a.conv_id, a.turn, a.n AS source, b.n AS draft FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, CAST(source AS BIGINT) AS source_words, CAST(draft AS BIGINT) AS draft_words, CASE WHEN source = 0 THEN 0.0e0 ELSE draft * 100.0e0 / source END AS retention,
+ CASE WHEN source = 0 OR draft * 100 < 95 * source THEN 'FAIL' WHEN draft * 100 > 110 * source THEN 'WARN' ELSE 'OK' END AS verdict FROM r""")
 both("hedge_pivot", f"""
 WITH h AS (SELECT w.conv_id, w.turn, l.class, count(*) AS n FROM {{turn_words}} w JOIN ({LEXICON_SQL}) l ON w.tok = l.word GROUP BY w.conv_id, w.turn, l.class)
 SELECT a.conv_id, a.turn, a.class, CAST(a.n AS BIGINT) AS source_hits, CAST(coalesce(b.n, 0) AS BIGINT) AS draft_hits

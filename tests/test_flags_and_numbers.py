@@ -58,3 +58,10 @@ def test_numbers_of_documents_are_all_found(spark):
     want = {r.doc_id: len(pattern.findall(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null").collect()}
     got = {r.doc_id: r["sum(times)"] for r in catalogue.QUERIES["all_numbers"](spark, sf).groupBy("doc_id").sum("times").collect()}
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_retention_of_turns_without_words(spark, tmp_path):
+    rows = [(1, 0, "user", "some words here"), (1, 1, "assistant", "..."), (1, 2, "user", "two words"), (2, 0, "user", "a b"), (2, 1, "assistant", None), (3, 0, "user", "a b"), (3, 1, "assistant", "a b")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): (r.source_words, r.draft_words, r.retention, r.verdict) for r in catalogue.QUERIES["retention_all"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): (3, 0, 0.0, "FAIL"), (1, 1): (0, 2, 0.0, "FAIL"), (2, 0): (2, 0, 0.0, "FAIL"), (3, 0): (2, 2, 100.0, "OK")}
