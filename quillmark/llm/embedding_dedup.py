@@ -6,9 +6,10 @@ codewords is the vector's cell in the product grid. Every vector is stored in it
 
 A search visits cells in the order of the multi-sequence: ascending by the squared distances from the
 vector's halves to the cells' borders. A neighbour at the threshold lies r = sqrt(2 - 2 cos) away; after the
-rotation its part across a border is normal with variance r^2 / d, so cells whose distance is reached
-with a probability below 1 - `recall` are left out (never cells within reach if the dimension is
-small). Visited cells' members are verified in full.
+rotation its part across a border is normal with variance r^2 / d, d the effective rank of the sampled vectors
+of that dimension, so cells whose distance is reached with a probability below 1 - `recall` are left out (never
+cells within reach if d is small). Each dimension has its own rotation, codebooks and reach; the vectors of
+one that the sample lacks are one cell. Visited cells' members are verified in full.
 
 Equal vectors of a label are one class with a count. A cell's members and visitors are split by hash into
 blocks, a task takes one pair of blocks, and only counts and a spanning forest leave it.
@@ -64,6 +65,13 @@ def train(vectors: list, width: int, codewords: int, seed: int = 3) -> dict:
     return {"turn": turn, "half": half, "books": books, "width": width}
 
 
+def rank(x: np.ndarray) -> float:
+    """Effective rank of the rows: squared trace of their covariance by the trace of its square."""
+    c = x - x.mean(0)
+    s = c.T @ c
+    return max(1.0, float(np.trace(s)) ** 2 / max(float((s**2).sum()), 1e-300))
+
+
 def borders(x: np.ndarray, book: np.ndarray) -> tuple:
     """Nearest codeword of each row, and its squared distance to the border of each codeword's cell."""
     d = np.maximum(0, (x**2).sum(1)[:, None] - 2 * x @ book.T + (book**2).sum(1))
@@ -93,21 +101,30 @@ def search(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sam
     rows = rows.withColumn("node", F.when(F.col("embedding").isNotNull(), F.xxhash64("label", "embedding")))
     grouped = rows.where("embedding is not null").groupBy("node", "label", "embedding")
     classes = cut(grouped.agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    about = classes.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width"), F.approx_count_distinct("label").alias("labels")).first()
-    width = int(about["width"] or 1)
+    about = classes.agg(F.count("*").alias("n"), F.approx_count_distinct("label").alias("labels")).first()
     taken = drawn(classes.select("embedding", F.xxhash64("node").alias("_draw")), sample, about["n"])
     got = [np.asarray(r["embedding"], float) for r in taken]
-    codewords = int(np.clip(math.sqrt(about["n"] / max(1, about["labels"]) / per_cell), 2, 64))
-    model = train(got or [np.ones(width)], width, codewords)
-    r2 = 2 - 2 * cosine
-    reach = min(r2, 2 * r2 / width * math.log(1 / (1 - recall))) + 1e-9
+    r2, models = 2 - 2 * cosine, {}
+    for width in {len(e) for e in got}:
+        own = [e for e in got if len(e) == width]
+        codewords = int(np.clip(math.sqrt(about["n"] * len(own) / len(got) / max(1, about["labels"]) / per_cell), 2, 64))
+        reach = min(r2, 2 * r2 / rank(unit(own, width)) * math.log(1 / (1 - recall))) + 1e-9
+        models[width] = train(own, width, codewords), reach
 
     def place(pdf, members: bool):
         vecs = [np.asarray(e, np.float64) for e in pdf["embedding"]]
-        own, row, cell = visits(model, unit(vecs, width), reach)
-        if members:
-            row, cell = np.arange(len(vecs)), own
         size = np.array([len(e) for e in vecs])
+        rows_, cells = [], []
+        for width in np.unique(size).tolist():
+            at = np.flatnonzero(size == width)
+            own, row, cell = np.zeros(len(at), np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
+            if width in models:
+                own, row, cell = visits(models[width][0], unit([vecs[i] for i in at], width), models[width][1])
+            if members:
+                row, cell = np.arange(len(at)), own
+            rows_.append(at[row])
+            cells.append(cell)
+        row, cell = np.concatenate(rows_), np.concatenate(cells)
         label, node, copies = pdf["label"].to_numpy(), pdf["node"].to_numpy(), pdf["copies"].to_numpy()
         packed = [e.tobytes() for e in vecs]
         return pd.DataFrame({"cell": [f"{label[i]}/{size[i]}/{c}" for i, c in zip(row, cell, strict=True)], "node": node[row], "copies": copies[row], "vec": [packed[i] for i in row]})

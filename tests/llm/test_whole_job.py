@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("quillmark.llm")
-from quillmark.llm import line_dedup, secrets  # noqa: E402
+from quillmark.llm import embedding_dedup, line_dedup, secrets  # noqa: E402
 
 
 def every_shingle(line):
@@ -81,3 +81,20 @@ def test_secret_training_reads_the_rest_of_long_lines():
     model = secrets.train([" ".join(["plain"] * 600 + ["zebra"] + ["plain"] * 9)] * 20)
     before = secrets.tokens(["zebra plain"])["f"][1][1]
     assert np.abs(model["w"][1][before]).max() > 0
+
+
+@pytest.mark.parametrize("rank,stray", [(64, 1536), (8, 0)])
+def test_links_beside_a_longer_vector_and_of_low_rank(spark, rank, stray):
+    rng = np.random.default_rng(4)
+    base, noise = rng.normal(size=(2, 1000, rank))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x = np.concatenate([base, 0.935 * base + np.sqrt(1 - 0.935**2) * noise]) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + ([(9999, rng.normal(size=stray).tolist(), 0)] if stray else [])
+    r, c = embedding_dedup.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), per_cell=2)
+    got = {q.vec_id: q.n_links for q in r.join(c, "node").collect()}
+    y = x.astype(np.float32).astype(float)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    want = (y @ y.T >= 0.93).sum(1) - 1
+    assert sum(abs(got[i] - n) for i, n in enumerate(want)) <= 2 and got.get(9999, 0) == 0
