@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import cloudpickle
@@ -24,21 +26,42 @@ def ship(name: str) -> None:
 ship(__name__)
 
 
+#: Whether Spark deletes the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; one of our own only where it is unset and the master is local."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
+        if held.isDefined():
+            path = held.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            path = f"file://{tempfile.mkdtemp(prefix='quillmark-')}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries run inside leave no shuffle files: what they wrote is a table, which nothing recomputes."""
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut lineage: write to the shared folder as Parquet and read that. Gone when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", codec).parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
@@ -47,13 +70,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table made by cut() that nothing reads any more."""
-    path = getattr(df, "_quillmark_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Delete tables made by cut() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_quillmark_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(*frames: DataFrame, n: int = 1) -> list:
+    """n column names that none of the tables has, the same ones each time."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    rng, out = random.Random(1), []
+    while len(out) < n:
+        name = f"q{rng.getrandbits(40):010x}"
+        if name not in taken and name not in out:
+            out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,173 +1,125 @@
-"""Fuzzy line deduplication by MinHash.
+"""Fuzzy line deduplication by MinHash. DataFrame operations only.
 
 A line is compared lower-cased, its words parted by single spaces. Its shingles are the strings of WIDTH
-characters at every position; a shorter line has one shingle, all of it. They are held as 64-bit hashes. A line's signature is the SKETCH least of
-them, and its bands the neighbouring pairs of the signature: two lines of similarity s keep a pair with a
-probability near s^2, and one of the pairs is enough. Every pair of lines that meets in a band is verified
-by exact Jaccard on all shingles, unless others tie it already: each line with the first of a band that it
-shares most bands with, then in signature order with the first and the NEAR before it, and in bands
-larger than that between all the components then left, by blocks.
-Links go through distributed union-find; of each component the line of least (doc_id, line number)
-stays, and all others go.
-
-Lines are cut and hashed by a vectorised Arrow function that reads whole texts once; a second reading makes the
-shingles of those lines only that share a band. All the rest is DataFrame operations.
-
-Equal lines are joined by hash before anything else, counted where they are read, so a line in a
-third of all documents is a row for each task. Lines of one shingle go with equal ones only. Blank lines (white
-space only) are always kept and never compared. A null text has no lines, an empty
-one has one blank line. Null ids come before all others; rows equal in id and text are one document with
-one row. An empty table gives an empty result.
+characters at every position, as 64-bit hashes; a shorter line has one shingle, all of it. Each of
+ROWS * PLACES fixed random numbers gives a minimum of the line: the shingle hash nearest to the
+number by exclusive or. ROWS minima are a band, BANDS bands share the minima so that two have one in common at
+most. Two lines of Jaccard similarity 0.8 share a band with probability 0.999 (0.99997 at 0.9).
+
+1. Different lines are gathered by one exchange of their text, and the minima of all their
+   shingles are taken where they lie.
+2. Lines that share a band are compared by exact Jaccard on all shingles, made again from the text: each
+   with the least line of the band that it shares most bands with (a star), and the least line of each
+   component with that of the band's most frequent one. Union-find ties what is similar.
+3. Bands that still hold several components are finished: their lines outside the most frequent
+   component are compared with all others of the band, in blocks. So no similar pair that shares a
+   band stays untied, and a band of one large component costs time in proportion to its lines.
+
+Of each component the line of least (doc_id, line number) stays, and all others go. Counts and least
+places are combined before each exchange, and joins have unique keys on one side, so adaptive execution
+splits a hot band, line or component.
+
+Lines of one shingle go with equal ones only. Blank lines (white space only) are always kept and never
+compared. A null text has no lines, an empty one has one blank line. Null ids come before all others;
+rows equal in id and text are one document with one row. Other columns are not read, so their names don't
+matter; clean() keeps them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
+import random
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_long, chunked, codepoints, components, cut, drop_cut, mix, ship, table
+from .common import components, cut, drop_cut, fresh, table
 
-ship(__name__)
+WIDTH, ROWS, PLACES, BANDS, STEP, BLOCK = 8, 3, 7, 14, 8, 64
+#: Bytes of a character in UTF-32, in which the n-th character of a line is found without a scan.
+CHAR = 4
+#: White space as Python's str.split() has it, as a class of characters, and the UTF-8 bytes
+#: that all of it beyond ASCII begins with. Most lines hold none of them and are passed over without a pattern.
+SPACE = r"[\x20\t-\r\x1c-\x1f\x85\xa0  -     　]"
+SPACE_BYTES = ("C285", "C2A0", "E19A80", "E280", "E2819F", "E38080")
 
-WIDTH, SKETCH, NEAR, BLOCK = 8, 10, 4, 64
-#: Characters of lines handled at once; a longer line is handled alone.
-CHUNK = 1 << 18
 
+def line_shingles(lines: list) -> tuple:
+    """The rule for lists, without Spark: line i has the different strings out[first[i]:first[i + 1]]."""
+    out, first = [], [0]
+    for line in lines:
+        out += sorted({line[k : k + WIDTH] for k in range(max(1, len(line) - WIDTH + 1))})
+        first.append(len(out))
+    return out, first
 
-def cut_lines(text: str | None, only: set | None = None) -> list:
-    """(line number, line as compared) of the lines that aren't blank."""
-    if text is None:
-        return []
-    rows = ((k, " ".join(raw.lower().split())) for k, raw in enumerate(text.split("\n")) if only is None or k in only)
-    return [r for r in rows if r[1]]
 
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
-def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin[i], begin[i] + 1, ... of size[i] numbers for each i."""
-    last = np.cumsum(size)
-    return np.arange(int(last[-1]) if len(last) else 0) + np.repeat(begin - (last - size), size)
 
+def compared(raw):
+    """A line in the form in which it is compared."""
+    odd = F.contains(raw, F.lit("  ")) | raw.rlike(r"[\x00-\x1f]")
+    for start in SPACE_BYTES:
+        odd = odd | F.contains(raw.cast("binary"), F.expr(f"X'{start}'"))
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(raw, f"{SPACE}+", " ")).otherwise(raw)))
 
-def line_shingles(lines: list) -> tuple:
-    """(hashes, first): the sorted distinct shingle hashes of line i are hashes[first[i]:first[i + 1]]."""
-    cp, starts, sizes = codepoints(lines)
-    n = np.where(sizes > 0, np.maximum(1, sizes - WIDTH + 1), 0)
-    at = spread(starts, n)
-    to, line = np.repeat(starts + sizes, n), np.repeat(np.arange(len(lines)), n)
-    wide = np.append(cp.astype(np.uint64) + np.uint64(1), np.zeros(WIDTH, np.uint64))
-    value = np.zeros(len(at), np.uint64)
-    for k in range(WIDTH):
-        value = value * np.uint64(0x2545F4914F6CDD1D) + np.where(at + k < to, wide[at + k], np.uint64(0))
-    value = mix(value)
-    order = np.lexsort((value, line))
-    value, line = value[order], line[order]
-    new = np.ones(len(value), np.bool_)
-    new[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
-    value, line = value[new], line[new]
-    return value, np.searchsorted(line, np.arange(len(lines) + 1))
-
-
-def nodes(lines: list) -> np.ndarray:
-    """64-bit hash of each line."""
-    return np.frombuffer(b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest() for x in lines), np.int64)
-
-
-def listed(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
-
-
-def sketches(batches):
-    """A row for each line that isn't blank: where it is, node, number of shingles, least one, band keys."""
-    for batch in batches:
-        found = [(i, k, x) for i, t in enumerate(batch.column("text").to_pylist()) for k, x in cut_lines(t)]
-        texts = [x for _, _, x in found]
-        for a, b in chunked(texts, CHUNK):
-            value, first = line_shingles(texts[a:b])
-            n = np.diff(first)
-            pairs = np.minimum(n, SKETCH) - 1
-            i = spread(first[:-1], pairs)
-            keys = as_long(mix(value[i] * np.uint64(0x9E3779B97F4A7C15) + value[i + 1]))
-            owner = pa.array([f[0] for f in found[a:b]], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(owner),
-                    batch.column("text_hash").take(owner),
-                    pa.array([f[1] for f in found[a:b]], pa.int32()),
-                    pa.array(nodes(texts[a:b])),
-                    pa.array(n.astype(np.int32)),
-                    pa.array((value[first[:-1]] >> np.uint64(49)).astype(np.int16)),
-                    listed(keys, pairs),
-                ],
-                ["doc_id", "text_hash", "line_no", "node", "n", "low", "keys"],
-            )
-
-
-def full_sets(batches):
-    """node and shingles of the lines numbered in `wanted`."""
-    for batch in batches:
-        texts, wanted = batch.column("text").to_pylist(), batch.column("wanted").to_pylist()
-        lines = [x for t, w in zip(texts, wanted) for _, x in cut_lines(t, set(w))]
-        for a, b in chunked(lines, CHUNK):
-            value, first = line_shingles(lines[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(nodes(lines[a:b])), listed(as_long(value), np.diff(first))], ["node", "s"])
+
+def lines(docs: DataFrame) -> DataFrame:
+    """A row for each line that isn't blank: doc_id, text_hash, line_no, node (its hash), line (as compared)."""
+    # outer: an inner explode would split the text twice
+    rows = hashed(docs).select("doc_id", "text_hash", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))
+    rows = rows.where(F.col("raw").rlike(f"[^{SPACE[1:]}"))
+    return rows.select("doc_id", "text_hash", "line_no", compared(F.col("raw")).alias("line")).select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("node"), "line")
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+def last_shingle(wide):
+    """First byte (from 1) of the last shingle of a line in UTF-32."""
+    return F.greatest(F.lit(0), F.octet_length(wide) / CHAR - WIDTH).cast("int") * CHAR + 1
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """A row for each line that isn't blank: doc_id, text_hash, line_no, node, n, low, keys."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return hashed(docs).mapInArrow(sketches, f"doc_id {kind}, text_hash long, line_no int, node long, n int, low short, keys array<long>")
+def shingles(line):
+    """Array of the hashes of all shingles of a line."""
+    each = lambda wide: F.transform(F.sequence(F.lit(1), last_shingle(wide), F.lit(CHAR)), lambda at: F.xxhash64(F.substr(wide, at, F.lit(WIDTH * CHAR))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), each)[0]
+
 
+def bands() -> list:
+    """The numbers of the ROWS minima of each band: column r of a grid has PLACES minima, and two bands share one at most."""
+    lines_ = [(a, b) for b in range(PLACES) for a in range(PLACES)][:BANDS]
+    return [[r * PLACES + (a + b * r) % PLACES for r in range(ROWS)] for a, b in lines_]
 
-def sets_of(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, s) of the lines at (doc_id, text_hash, line_no): their texts are read again."""
-    w = places.groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("wanted")).alias("w")
-    d = hashed(docs).alias("d")
-    texts = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_hash") == F.col("w.text_hash"))).select("d.text", "w.wanted")
-    return texts.mapInArrow(full_sets, "node long, s array<long>").dropDuplicates(["node"])
 
+def sketched(all_: DataFrame) -> DataFrame:
+    """A row for each different line: node, keys (its bands).
 
-def similar(a, b, up: int, down: int):
-    """Whether the Jaccard similarity of two shingle sets is up / down or more, in whole numbers."""
+    A row of the explode takes STEP shingles, whose minima are found before they are grouped. Groups lie as
+    the exchange of the different lines left them, so there is no further one.
+    """
+    rng = random.Random(20)
+    marks = [rng.getrandbits(64) - (1 << 63) for _ in range(ROWS * PLACES)]
+    once = all_.groupBy("node").agg(F.first("line").alias("line"))
+    wide = once.select("node", "line", F.encode("line", "UTF-32").alias("wide"))
+    wide = wide.select("node", "line", "wide", last_shingle(F.col("wide")).alias("last"))
+    # outer: from an inner explode Spark infers a filter that would make the positions twice
+    each = wide.select("node", "wide", "last", F.explode_outer(F.sequence(F.lit(1), F.col("last"), F.lit(STEP * CHAR))).alias("at"))
+    each = each.select("node", *[F.expr(f"xxhash64(substring(wide, least(at + {k * CHAR}, last), {WIDTH * CHAR}))").alias(f"h{k}") for k in range(STEP)])
+    least = each.groupBy("node").agg(*[F.min(F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(m)) for k in range(STEP)])).alias(f"m{i}") for i, m in enumerate(marks)])
+    keys = [F.xxhash64(F.lit(n), *[F.col(f"m{i}") for i in band]) for n, band in enumerate(bands())]
+    return least.select("node", F.array(*keys).alias("keys"))
+
+
+def alike(a, b, up: int, down: int):
+    """Whether the Jaccard similarity of two shingle arrays is up / down or more, in whole numbers."""
     both = F.size(F.array_intersect(a, b))
-    return both * down >= (F.size(a) + F.size(b) - both) * up
-
-
-def alike(n, m, up: int, down: int):
-    """Whether sets of these sizes can be similar."""
-    return (F.least(n, m) * down) >= F.greatest(n, m) * up
-
-
-def link(docs: DataFrame, once: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
-    """(node, component) of the lines that have a similar line; once is a row for each different line."""
-    keys = once.select("node", "n", "low", F.explode("keys").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    keys = cut(keys.join(sizes, "key"))
-    order = Window.partitionBy("key").orderBy("low", "node")
-    peer = F.struct("node", "n")
-    near = F.array(F.first(peer).over(order), *[F.lag(peer, k).over(order) for k in range(1, NEAR + 1)])
-    met = keys.select("node", "n", near.alias("near")).select("node", "n", F.posexplode(F.filter("near", lambda x: x.isNotNull())).alias("k", "o"))
-    met = met.where(alike(F.col("n"), F.col("o.n"), up, down) & (F.col("node") != F.col("o.node")))
-    pairs = cut(met.groupBy(F.col("node").alias("a"), F.col("o.node").alias("b")).agg(F.min("k").alias("k"), F.count("*").alias("bands")))
-    # the shingles of lines that meet others only: few, and they are larger than the text
-    wide = keys.where(F.col("size") > NEAR + 1)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(wide.select("node")).distinct()
-    sets = cut(sets_of(docs, once.join(wanted, "node", "left_semi").select("place.*")))
-    # first every line with the one it shares most bands with; then the others, but for pairs that are already tied
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("k"), "b")).alias("b"))
-    tied = verify(sets, best.withColumns({"src": F.col("a"), "dst": F.col("b")}), up, down)
-    groups = components(tied)
-    least, most = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    rest = pairs.select(least, most).distinct().join(best.select(least, most), ["a", "b"], "left_anti")
-    groups = joined(groups, verify(sets, untied(rest, groups), up, down))
-    return joined(groups, large(sets, wide, groups, up, down))
+    n, m = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
+    return both * down >= (n + m - both) * up
+
+
+def verify(texts: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
+    """src and dst of the pairs (a, b, src, dst) of lines that are similar."""
+    left, right = texts.select(F.col("node").alias("a"), F.col("line").alias("x")), texts.select(F.col("node").alias("b"), F.col("line").alias("y"))
+    both = pairs.join(left, "a").join(right, "b")
+    return cut(both.where(alike(shingles(F.col("x")), shingles(F.col("y")), up, down)).select("src", "dst"))
 
 
 def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,56 +130,75 @@ def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(old.select("node", F.coalesce("root", "component").alias("component")).union(new))
 
 
-def untied(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs (a, b) that aren't of one component, with the components as src and dst."""
-    ga, gb = groups.select(F.col("node").alias("a"), F.col("component").alias("ca")), groups.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    named = pairs.join(ga, "a", "left").join(gb, "b", "left")
-    return named.select("a", "b", F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst")).where("src <> dst")
-
-
-def large(sets: DataFrame, keys: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
-    """Links (src, dst) between the components that large bands still hold: all their pairs of lines are compared.
-
-    In a band the lines outside its most frequent component are compared with all the others, so a band of
-    one large component and few other lines takes time in proportion to its lines. Both sides
-    are split by hash into blocks of about BLOCK, and each pair of blocks is a row.
-    """
-    named = keys.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows (key, node, c, top) of bands that hold several components; top is the most frequent one."""
+    named = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    open_ = counts.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.max("m").alias("m"))
-    open_ = open_.where("m < size").select("key", "top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("m")) / BLOCK).cast("int").alias("few"))
-    named = cut(named.join(open_, "key").join(sets, "node").select("key", "c", "s", "blocks", "few", (F.col("c") == F.col("top")).alias("is_top"), F.xxhash64("node").alias("h")))
-    line = F.struct("c", "is_top", "s")
-    left = named.where("not is_top").groupBy("key", "blocks", F.pmod("h", "few").alias("b")).agg(F.collect_list(line).alias("own"))
-    left = left.select("key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
-    right = named.groupBy("key", F.pmod("h", "blocks").cast("int").alias("o")).agg(F.collect_list(line).alias("others"))
-    both = left.join(right, ["key", "o"])
-    fits = lambda x, y: (y["is_top"] | (x["c"] < y["c"])) & alike(F.size(x["s"]), F.size(y["s"]), up, down) & similar(x["s"], y["s"], up, down)
-    edges = F.flatten(F.transform("own", lambda x: F.transform(F.filter("others", lambda y: fits(x, y)), lambda y: F.struct(x["c"].alias("src"), y["c"].alias("dst")))))
-    return cut(both.select(F.explode(F.array_distinct(edges)).alias("e")).select("e.src", "e.dst").distinct())
-
-
-def verify(sets: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
-    """src and dst of the pairs (a, b) of lines whose exact Jaccard similarity is up / down or more."""
-    left, right = sets.withColumnsRenamed({"node": "a", "s": "sa"}), sets.withColumnsRenamed({"node": "b", "s": "sb"})
-    both = pairs.join(left, "a").join(right, "b")
-    return cut(both.where(similar(F.col("sa"), F.col("sb"), up, down)).select("src", "dst"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("n"), F.sum("m").alias("size")).where("n > 1")
+    return cut(named.join(tops.select("key", F.col("top.c").alias("top"), F.col("top.m").alias("top_size"), "size"), "key"))
+
+
+def link(all_: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
+    """(node, component) of the lines that have a similar line; all_ is lines()."""
+    once = cut(sketched(all_))
+    keys = once.select("node", F.explode("keys").alias("key"))
+    meet = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"))
+    shared = cut(keys.join(meet, "key").select("key", "node", "least"))
+    drop_cut(meet, once)
+    # only lines that share a band are needed again
+    texts = all_.select("node", "line").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = cut(texts.groupBy("node").agg(F.first("line").alias("line")), "zstd")
+    star = shared.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
+    best = star.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    tested = cut(best.withColumns({"src": F.col("a"), "dst": F.col("b")}))
+    groups = components(verify(texts, tested, up, down))
+    # the least line of each component against that of the band's most frequent one
+    left = still_open(shared, groups)
+    heads = left.groupBy("key", "c", "top").agg(F.min("node").alias("a"))
+    tops = heads.where("c = top").select("key", F.col("a").alias("b"))
+    pairs = heads.where("c <> top").join(tops, "key").select("a", "b", F.col("c").alias("src"), F.col("top").alias("dst")).distinct()
+    pairs = cut(untested(pairs, tested))
+    groups = joined(groups, verify(texts, pairs, up, down))
+    tested = tested.select("a", "b").union(pairs.select("a", "b"))
+    drop_cut(left)
+    left = still_open(shared, groups)
+    rest = cut(untested(remaining(left), tested))
+    drop_cut(left, shared)
+    return joined(groups, verify(texts, rest, up, down))
+
+
+def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
+def remaining(left: DataFrame) -> DataFrame:
+    """Pairs (a, b, src, dst) of lines of different components in one band, by blocks of about BLOCK lines."""
+    own = left.where("c <> top").withColumn("i", F.pmod(F.xxhash64("node"), F.ceil((F.col("size") - F.col("top_size")) / BLOCK)))
+    blocks = F.ceil(F.col("size") / BLOCK)
+    few = own.groupBy("key", "i", "size").agg(F.collect_list(F.struct("node", "c")).alias("few"))
+    few = few.select("key", "few", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
+    every = left.withColumn("j", F.pmod(F.xxhash64("node"), blocks))
+    every = every.groupBy("key", "j").agg(F.collect_list(F.struct("node", "c", (F.col("c") == F.col("top")).alias("is_top"))).alias("all"))
+    fits = lambda x, y: (y["is_top"] | (x["c"] < y["c"]))
+    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["c"].alias("src"), y["c"].alias("dst"))
+    pairs = F.flatten(F.transform("few", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: pair(x, y))))
+    return few.join(every, ["key", "j"]).select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_lines, n_removed, removed (line numbers from 0)."""
     place = F.struct("doc_id", "text_hash", "line_no")
-    all_lines = cut(lines(docs))
-    once = cut(all_lines.groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys")))
-    linked = link(docs, once, up, down)
-    firsts = cut(once.select("node", "place").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    drop_cut(once)
-    best = firsts.groupBy("component").agg(F.min("place").alias("best"), F.count("*").alias("nodes"))
+    all_lines = lines(docs)
+    linked = link(all_lines, up, down)
+    places = cut(all_lines.select("doc_id", "text_hash", "line_no", "node"))
+    firsts = places.groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("times"))
+    firsts = cut(firsts.join(linked, "node", "left").where("times > 1 or component is not null").select("node", "place", F.coalesce("component", "node").alias("component")))
+    best = firsts.groupBy("component").agg(F.min("place").alias("best"))
     kept = firsts.join(best, "component").select("node", "best")
-    own = all_lines.select("doc_id", "text_hash", "line_no", "node")
-    gone = own.join(kept, "node").where(~place.eqNullSafe(F.col("best")))
+    gone = places.join(kept, "node").where(~place.eqNullSafe(F.col("best")))
     gone = gone.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    all_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
+    all_ = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).alias("n"))
     all_ = all_.groupBy("doc_id", "text_hash").agg(F.max("n").cast("long").alias("n_lines")).alias("d")
     g = gone.alias("g")
     out = all_.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.text_hash") == F.col("g.text_hash")), "left")
@@ -236,9 +207,10 @@ def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
 
 
 def clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with the lines that dedup() removes cut out of their texts."""
-    d, f = docs.withColumn("_h", F.xxhash64("text")).alias("d"), found.alias("f")
-    rows = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d._h") == F.col("f.text_hash")), "left")
+    """The documents with the lines that dedup() removes cut out of their texts; other columns stay as they are."""
+    (h,) = fresh(docs)
+    d, f = docs.withColumn(h, F.xxhash64("text")).alias("d"), found.alias("f")
+    rows = d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col(f"d.{h}") == F.col("f.text_hash")), "left")
     left = F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains(F.col("f.removed"), i))
     text = F.when(F.col("f.n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("d.text"))
     return rows.select(*[text.alias("text") if c == "text" else F.col(f"d.`{c}`").alias(c) for c in docs.columns])
