@@ -1,9 +1,12 @@
-"""Removal of long repeats: equal windows of `length` bytes grouped exactly, over all documents.
+"""Removal of long repeats by longest-previous-factor arrays, over all documents.
 
-A byte goes if a string of `length` bytes that covers it also starts in a document of smaller doc_id. Sorted
-by their bytes, equal strings of that length stand together, and the least document of such a group decides
-for all of it; longest previous factors are not computed, for how far a match goes on doesn't matter. One
-sort of a whole corpus can't be done in one place, so its positions are dealt out by content:
+A byte goes if a string of `length` bytes that covers it also starts in a document of smaller doc_id. In
+suffix order the earlier document with which a position shares most bytes is the nearest one before or
+after it with a smaller doc_id: those are the previous and next smaller positions, the least common prefix on
+the way is the length of the match, and the greater of the two is the longest previous factor. Where
+it reaches `length`, the copy goes and the first document keeps its own. Factors are computed up to `length`, for how far
+a match goes on beyond it doesn't matter. The suffixes of a whole corpus can't be sorted in one place, so its positions are
+dealt out by content:
 
 1. Documents are dealt into chunks by hash. A position's key is the least hash of the GRAM-byte
    strings in its window of `length` bytes, so equal windows have equal keys wherever they are, and
@@ -11,15 +14,15 @@ sort of a whole corpus can't be done in one place, so its positions are dealt ou
 2. Each chunk sends its distinct keys to buckets; a bucket answers which occur in other chunks.
    Only contexts whose key occurs in two documents go on.
 3. Each chunk sends those contexts, equal ones once with their least and greatest doc_id. A bucket
-   sorts the windows at all positions of its contexts by their bytes, groups equal ones, and answers with
-   the least document of each group.
+   joins equal contexts of its chunks, builds the suffix order, longest common prefixes, smaller positions and
+   factors of the rest, and answers with the first document of each repeated window.
 4. Each chunk marks the bytes of later copies and cuts them out.
 
 All messages are packed arrays, a row for a chunk and bucket. Equal keys of a chunk are sent once, so a
 passage in a third of all documents is as many entries as there are chunks. The three passes over
 the documents read one exchange.
 
-Texts are UTF-8 bytes, null is empty. A null doc_id is neither smaller nor larger than any: such
+Texts are UTF-8 bytes, null is empty; other columns are not read. A null doc_id is neither smaller nor larger than any: such
 documents lose nothing and take nothing away. Documents with equal ids take nothing from each other.
 Offsets are bytes; an empty table gives an empty result.
 """
@@ -78,12 +81,10 @@ def runs(texts: list, length: int) -> tuple:
 
 
 def load(pdf: pd.DataFrame) -> tuple:
-    """(ids with nulls as -1 beside a mask, texts as bytes) of a chunk, in a fixed order."""
-    pdf = pdf.sort_values(["doc_id", "text"], na_position="first", kind="stable")
+    """(ids, whether they are known, texts as bytes) of a chunk, in a fixed order."""
+    pdf = pdf.sort_values(["known", "doc_id", "text"], na_position="first", kind="stable")
     texts = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in pdf["text"]]
-    known = pdf["doc_id"].notna().to_numpy()
-    ids = np.array([int(x) if ok else 0 for x, ok in zip(pdf["doc_id"], known, strict=True)], np.int64)
-    return ids, known, texts
+    return pdf["doc_id"].to_numpy(np.int64), pdf["known"].to_numpy(bool), texts
 
 
 def distinct_keys(ids, known, texts, length: int) -> tuple:
@@ -96,6 +97,14 @@ def distinct_keys(ids, known, texts, length: int) -> tuple:
     return uniq, low < high, (who, a, b, at)
 
 
+def by_bucket(keys: np.ndarray, buckets: int) -> list:
+    """(bucket, places of its keys in their order) of the buckets that keys are dealt to."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    found, first = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True)) if len(keys) else []
+
+
 def contexts(ids, known, texts, length: int, buckets: int, answers: dict) -> tuple:
     """Distinct contexts of a chunk whose key is in two documents: by bucket, in a fixed order.
 
@@ -105,9 +114,9 @@ def contexts(ids, known, texts, length: int, buckets: int, answers: dict) -> tup
     uniq, multi, (who, a, b, at) = distinct_keys(ids, known, texts, length)
     bucket = (uniq % np.uint64(buckets)).astype(np.int64)
     often = multi.copy()
-    for k, bits in answers.items():
-        own = np.flatnonzero(bucket == k)
-        often[own] |= np.unpackbits(np.frombuffer(bits, np.uint8))[: len(own)].astype(bool)
+    for k, own in by_bucket(uniq, buckets):
+        if k in answers:
+            often[own] |= np.unpackbits(np.frombuffer(answers[k], np.uint8))[: len(own)].astype(bool)
     use = often[at]
     who, a, b, at = who[use], a[use], b[use], at[use]
     seen: dict = {}
@@ -132,29 +141,66 @@ def contexts(ids, known, texts, length: int, buckets: int, answers: dict) -> tup
     return (who, a, b, rank[number] if len(number) else number), [found[i] for i in order], np.array(low, np.int64)[order], np.array(high, np.int64)[order]
 
 
-def earliest(data: np.ndarray, start: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """For each position in data the least id over the positions whose next `length` bytes are equal.
-
-    Windows are sorted by their 8-byte words; equal ones make a group.
-    """
-    padded = np.append(data, np.zeros(8, np.uint8))
+def suffix_order(data: np.ndarray, start: np.ndarray, length: int) -> tuple:
+    """(order, lcp): the positions by the `length` bytes there, and the bytes that each shares with the one before it."""
+    padded = np.append(data, np.zeros(8, np.uint8)).astype(np.uint64)
     words = []
     for w in range(0, length, 8):
-        width = min(8, length - w)
         word = np.zeros(len(start), np.uint64)
-        for k in range(width):
-            word = (word << np.uint64(8)) | padded[start + w + k]
+        for k in range(8):
+            word <<= np.uint64(8)
+            if w + k < length:
+                word |= padded[start + (w + k)]
         words.append(word)
     order = np.lexsort(words[::-1])
+    lcp = np.zeros(len(order), np.int64)
     same = np.ones(max(0, len(order) - 1), bool)
-    for word in words:
-        s = word[order]
-        same &= s[1:] == s[:-1]
-    head = np.flatnonzero(np.append(True, ~same))
-    least = np.minimum.reduceat(ids[order], head)
-    out = np.empty(len(start), np.int64)
-    out[order] = np.repeat(least, np.diff(np.append(head, len(order))))
-    return out
+    for w, word in enumerate(words):
+        at = np.flatnonzero(same)
+        differ = word[order[at + 1]] ^ word[order[at]]
+        # position of the highest bit that differs, from 1; without the bit below it no rounding can raise it
+        top = np.frexp((differ & ~(differ >> np.uint64(1))).astype(np.float64))[1]
+        lcp[at + 1] = np.minimum(length, w * 8 + np.where(differ == 0, 8, (64 - top) // 8))
+        same[at] = differ == 0
+    return order, lcp
+
+
+def smaller(ids: np.ndarray, lcp: np.ndarray, length: int) -> tuple:
+    """For each position in suffix order the one before it with a smaller id, and the bytes shared with it.
+
+    All positions jump at once: what lies between a position and its candidate is never smaller, so a
+    candidate that isn't smaller hands on its own. Once less than `length` bytes are shared, the search ends.
+    """
+    at, shared = np.arange(len(ids)) - 1, lcp.copy()
+    if len(ids):
+        at[0], shared[0] = 0, 0
+    todo = np.flatnonzero((shared >= length) & (ids[at] >= ids))
+    while len(todo):
+        to = at[todo]
+        new_shared, new_at = np.minimum(shared[todo], shared[to]), at[to]
+        shared[todo], at[todo] = new_shared, new_at
+        todo = todo[(new_shared >= length) & (ids[new_at] >= ids[todo])]
+    return at, shared
+
+
+def factors(data: np.ndarray, start: np.ndarray, ids: np.ndarray, length: int) -> tuple:
+    """(lpf, first): each position's longest previous factor, up to `length`, and the first document that it leads to."""
+    order, lcp = suffix_order(data, start, length)
+    own = ids[order]
+    before, shared = smaller(own, lcp, length)
+    flipped, ahead = smaller(own[::-1], np.append(0, lcp[:0:-1]) if len(lcp) else lcp, length)
+    after, ahead = len(own) - 1 - flipped[::-1], ahead[::-1]
+    by = np.where(shared >= ahead, before, after)
+    longest = np.maximum(shared, ahead)
+    to = np.where(longest >= length, by, np.arange(len(own)))
+    while True:  # follow the matches to the first document
+        far = to[to]
+        if (far == to).all():
+            break
+        to = far
+    lpf, first = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+    lpf[order], first[order] = longest, own[to]
+    return lpf, first
 
 
 def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFrame:
@@ -163,7 +209,9 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
 
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(min(1 << 20, max(12, total // CHUNK_BYTES + 1)))
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(buckets)).cast("int").alias("chunk"))
+    # ids travel without nulls, beside a mark, for pandas would round them; repeated rows and null ids are dealt by text
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int").alias("chunk")
+    dealt = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNotNull().alias("known"), "text", chunk)
 
     def pack(*arrays) -> bytes:
         return zstandard.ZstdCompressor(level=1).compress(b"".join(np.int64(x.nbytes).tobytes() + x.tobytes() for x in arrays))
@@ -178,9 +226,8 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
 
     def ask(pdf):
         uniq, _, _ = distinct_keys(*load(pdf), length)
-        bucket = (uniq % np.uint64(buckets)).astype(np.int64)
-        parts = [(k, uniq[bucket == k]) for k in np.unique(bucket)]
-        return pd.DataFrame({"chunk": pdf["chunk"].iat[0], "bucket": [k for k, _ in parts], "blob": [x.tobytes() for _, x in parts]})
+        parts = by_bucket(uniq, buckets)
+        return pd.DataFrame({"chunk": pdf["chunk"].iat[0], "bucket": [k for k, _ in parts], "blob": [uniq[at].tobytes() for _, at in parts]})
 
     def answer(pdf):
         keys = [np.frombuffer(x, np.uint64) for x in pdf["blob"]]
@@ -213,10 +260,23 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
         low, high = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
         data = np.concatenate([g[3] for g in got])
         begin = np.cumsum(size) - size
+        # equal contexts of several chunks are one, with the least of their documents
+        raw, seen = data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[i : i + n], len(seen)) for i, n in zip(begin.tolist(), size.tolist(), strict=True)], np.int64)
+        _, head = np.unique(number, return_index=True)
+        ids = np.full(len(head), INF)
+        np.minimum.at(ids, number, low)
+        windows = size[head] - length + 1
+        of = np.repeat(np.arange(len(head)), windows)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
+        lpf, first = factors(data, begin[head][of] + within, ids[of], length)
+        # back to every context: its own document is the first one unless a factor reaches `length`
+        first = np.where(lpf >= length, first, ids[of])
+        at = np.cumsum(windows) - windows
         windows = size - length + 1
         of = np.repeat(np.arange(len(size)), windows)
         within = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        least = earliest(data, begin[of] + within, low[of], length)
+        least = first[at[number[of]] + within]
         # as runs of windows of one context with one earliest document, where that is earlier than a holder
         hit = least < high[of]
         of, within, least = of[hit], within[hit], least[hit]
@@ -257,19 +317,20 @@ def dedup(docs: DataFrame, length: int = 50, keep_text: bool = False) -> DataFra
             rest = np.frombuffer(t, np.uint8)[~cut_].tobytes()
             gone = int(cut_.sum())
             parts = int((np.diff(cut_.astype(np.int8), prepend=0) == 1).sum())
-            row = (int(ids[i]) if known[i] else None, len(t), gone, parts, hashlib.sha256(rest).hexdigest())
+            row = (ids[i], known[i], len(t), gone, parts, hashlib.sha256(rest).hexdigest())
             out.append(row + (rest,) if keep_text else row)
-        return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+        return pd.DataFrame(out, columns=names)
 
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
+    names = ["doc_id", "known", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text
     message = "chunk int, bucket int, blob binary"
     keyed = dealt.groupBy("chunk")
     known = keyed.applyInPandas(ask, message).groupBy("bucket").applyInPandas(answer, message)
     sent = keyed.cogroup(known.groupBy("chunk")).applyInPandas(send, message)
     found = sent.groupBy("bucket").applyInPandas(match, f"{message}, kind int")
     both = known.withColumn("kind", F.lit(0)).unionByName(found)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return keyed.cogroup(both.groupBy("chunk")).applyInPandas(remove, schema)
+    schema = "doc_id long, known boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
+    out = keyed.cogroup(both.groupBy("chunk")).applyInPandas(remove, schema)
+    return out.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")).cast(docs.schema["doc_id"].dataType)).drop("known")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
