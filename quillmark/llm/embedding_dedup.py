@@ -4,8 +4,8 @@ Vectors are scaled to length 1, turned by a fixed random rotation and split in h
 a codebook, trained by k-means on a bounded sample (`sample` vectors, by hash), and the pair of nearest
 codewords is the vector's cell in the product grid. Every vector is stored in its cell.
 
-A search visits cells in the order of the multi-sequence: ascending by the squared distances from the
-vector's halves to the cells' borders. A neighbour at the threshold lies r = sqrt(2 - 2 cos) away; after the
+A search visits cells by the multi-sequence: a heap walks the two lists of codewords, ascending by the squared
+distances from the vector's halves to the cells' borders, and stops once the target recall is reached. A neighbour at the threshold lies r = sqrt(2 - 2 cos) away; after the
 rotation its part across a border is normal with variance r^2 / d, d the effective rank of the sampled vectors
 of that dimension, so cells whose distance is reached with a probability below 1 - `recall` are left out (never
 cells within reach if d is small). Each dimension has its own rotation, codebooks and reach; the vectors of
@@ -16,11 +16,12 @@ blocks, a task takes one pair of blocks, and only counts and a spanning forest l
 Vectors link only with vectors of an equal label that isn't null and of their own dimension. Vectors
 that are null, empty or zero, or hold null or non-finite components, link with nothing and are their own
 components. Rows with a null vec_id link like others, with component_id the least known one and kept
-false; repeated ids are rows of their own. Empty tables give empty results.
+false; repeated ids are rows of their own. Other columns are not read. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -81,16 +82,39 @@ def borders(x: np.ndarray, book: np.ndarray) -> tuple:
     return own, np.maximum(0, gap) ** 2
 
 
+def multi_sequence(near: list, far: list, reach: float):
+    """Pairs (i, j) of two ascending lists by ascending sum, until the sum passes `reach`.
+
+    A heap holds the frontier: a pair is pushed once the pairs before it in both lists are visited.
+    """
+    heap = [(near[0] + far[0], 0, 0)]
+    while heap:
+        cost, i, j = heapq.heappop(heap)
+        if cost > reach:
+            return
+        yield i, j
+        if j + 1 < len(far):
+            heapq.heappush(heap, (near[i] + far[j + 1], i, j + 1))
+        if j == 0 and i + 1 < len(near):
+            heapq.heappush(heap, (near[i + 1] + far[0], i + 1, 0))
+
+
 def visits(model: dict, x: np.ndarray, reach: float) -> tuple:
     """Own cell of each row, and (row, cell) pairs to visit, nearest first."""
     y = x @ model["turn"]
     a, ga = borders(y[:, : model["half"]], model["books"][0])
     b, gb = borders(y[:, model["half"] :], model["books"][1])
     k = len(model["books"][1])
-    cost = (ga[:, :, None] + gb[:, None, :]).reshape(len(x), -1)
-    row, cell = np.nonzero(cost <= reach)
-    order = np.lexsort((cost[row, cell], row))
-    return a * k + b, row[order], cell[order]
+    oa, ob = ga.argsort(1, kind="stable"), gb.argsort(1, kind="stable")
+    ga, gb = np.take_along_axis(ga, oa, 1), np.take_along_axis(gb, ob, 1)
+    row, cell = [], []
+    for r in range(len(x)):
+        # codewords beyond the reach by themselves are in no pair
+        n, m = int(np.searchsorted(ga[r], reach, "right")), int(np.searchsorted(gb[r], reach, "right"))
+        own = [int(oa[r, i]) * k + int(ob[r, j]) for i, j in multi_sequence(ga[r, :n].tolist(), gb[r, :m].tolist(), reach)]
+        cell += own
+        row += [r] * len(own)
+    return a * k + b, np.array(row, np.int64), np.array(cell, np.int64)
 
 
 def search(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sample: int = 20000, per_cell: int = 64, block: int = 2048) -> tuple:
@@ -107,7 +131,8 @@ def search(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, sam
     r2, models = 2 - 2 * cosine, {}
     for width in {len(e) for e in got}:
         own = [e for e in got if len(e) == width]
-        codewords = int(np.clip(math.sqrt(about["n"] * len(own) / len(got) / max(1, about["labels"]) / per_cell), 2, 64))
+        # codewords grow with the vectors, so that cells don't
+        codewords = max(2, int(math.sqrt(about["n"] * len(own) / len(got) / max(1, about["labels"]) / per_cell)))
         reach = min(r2, 2 * r2 / rank(unit(own, width)) * math.log(1 / (1 - recall))) + 1e-9
         models[width] = train(own, width, codewords), reach
 
