@@ -8,9 +8,10 @@ sketch shingles always include one that the document has. The search is thus wit
 candidates are then verified by exact containment over all the shingles.
 
 Words are runs of letters and digits, lower-cased; whole texts are read. Items of fewer than `width`
-words have no shingle and are never reported, for chance alone repeats them. Null and empty texts hold
-nothing. Equal texts are decided once, by a 128-bit hash, so null or repeated ids do no harm. Empty
-tables give an empty result. Item tables are broadcast only up to BROADCAST_ROWS rows, counted
+words are found as their whole sequence of words, at the widths that occur, if `short` is set, as it is in the
+query and the stage. Without it they are never reported. Null and empty texts, and items without words, hold
+nothing and are in nothing. Equal texts are decided once, by a 128-bit hash, so null or repeated ids do no harm. Empty
+tables give an empty result; other columns may have any names. Item tables are broadcast only up to BROADCAST_ROWS rows, counted
 first; larger ones are joined by shuffle.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 BROADCAST_ROWS = 200_000
 KEYS = ["k1", "k2"]
@@ -49,10 +50,23 @@ def grams(df: DataFrame, width: int) -> DataFrame:
     return rows.select(*rest, F.xxhash64(*[F.get("w", F.col("i") + k) for k in range(width)]).alias("gram"))
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> tuple:
+def brief(docs: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """Texts (k1, k2) that hold all words of an item (i1, i2) of fewer than `width` words, in a row."""
+    words = items.select("i1", "i2", F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("w"))
+    words = cut(words.where((F.size("w") > 0) & (F.size("w") < width)).select("i1", "i2", F.size("w").alias("n"), F.array_join("w", " ").alias("text")))
+    out = None
+    for n in sorted(r["n"] for r in words.select("n").distinct().collect()):  # width - 1 numbers at most
+        item = bounded(grams(words.where(F.col("n") == n).select("i1", "i2", "text"), n))
+        held = grams(docs, n).join(item, "gram").select("k1", "k2", "i1", "i2", F.lit(1).alias("item_grams"), F.lit(1).alias("shared")).distinct()
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
+def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5, short: bool = False) -> tuple:
     """(verified, named): the texts (k1, k2) that hold an item (i1, i2), and the ids of the items.
 
-    verified has item_grams and shared, the item's distinct shingles and those in the text.
+    verified has item_grams and shared, the item's distinct shingles and those in the text; short looks for items
+    of fewer than `width` words too.
     """
     named = keyed(items, "item_id").withColumnsRenamed({"k1": "i1", "k2": "i2"})
     texts = keyed(items.where("text is not null"), "text").withColumnsRenamed({"k1": "i1", "k2": "i2"}).dropDuplicates(["i1", "i2"])
@@ -73,13 +87,14 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int =
     met = held.join(bounded(whole), "gram").select("k1", "k2", "i1", "i2", "item_grams", "gram").distinct()
     counts = met.groupBy("k1", "k2", "i1", "i2", "item_grams").agg(F.count("*").cast("int").alias("shared"))
     verified = counts.join(candidates, ["k1", "k2", "i1", "i2"], "left_semi").where(F.col("shared") >= threshold * F.col("item_grams") - 1e-9)
-    return cut(verified), named
+    few = brief(texts, trimmed, width) if short else None
+    return cut(verified if few is None else verified.unionByName(few)), named
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """Rows (doc_id, item_id, item_grams, shared, containment): the documents that hold a test item."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    verified, named = find(docs.select("doc_id", "text"), items.select("item_id", "text"))
+    verified, named = find(docs.select("doc_id", "text"), items.select("item_id", "text"), short=True)
     pairs = verified.join(named, ["i1", "i2"])
     rows = keyed(docs, "doc_id").join(bounded(pairs), KEYS)
     return rows.select("doc_id", "item_id", "item_grams", "shared", (F.col("shared") / F.col("item_grams")).alias("containment"))
@@ -87,8 +102,8 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
-    verified, _ = find(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    marked = docs.withColumns({"_k1": F.xxhash64(text), "_k2": F.xxhash64(F.lit(1), text)})
-    bad = bounded(verified.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
-    return marked.join(bad, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    verified, _ = find(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), short=True)
+    text, (k1, k2) = F.coalesce("text", F.lit("")), fresh(docs, n=2)
+    marked = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(1), text)})
+    bad = bounded(verified.select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct())
+    return marked.join(bad, [k1, k2], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
