@@ -11,17 +11,22 @@ A document goes to the shard in which its middle byte lies.
 
 Size: UTF-8 bytes of the text (null: none) plus 1. Within a cell, order is by hash, doc_id (nulls
 first), checksum and size; equal rows are interchangeable, so reruns agree. Slots number a shard's
-rows from 0 without gaps. Empty tables give empty results.
+rows from 0 without gaps. Empty tables give empty results; other columns are not read, and the stage keeps them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 BITS = 4
+#: Bits of a slot where shard and slot are one number.
+SLOT_BITS = 48
 
 
 def hilbert(axes: list, bits: int):
@@ -120,5 +125,34 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each row (the last stage: texts stay where they are)."""
-    return contract(shard(docs))
+    """Every row with all its columns, and those of contract() that it doesn't have, in their shard and slot.
+
+    Rows equal in id, language, source and text are interchangeable, so their slots are dealt to them in any order
+    of their other columns, the same each time.
+    """
+    size, crc, n, code = fresh(docs, n=4)
+    data = F.coalesce(F.encode("text", "UTF-8"), F.lit("").cast("binary"))
+    keys, named = ["doc_id", "lang", "source", "size", "text_crc32"], ["doc_id", "lang", "source", size, crc]
+    rows = docs.withColumns({size: (F.octet_length(data) + 1).cast("long"), crc: F.crc32(data)}).alias("r")
+    place = F.shiftleft(F.col("shard").cast("long"), SLOT_BITS) + F.col("slot")
+    dealt = cut(shard(docs.select("doc_id", "lang", "source", "text")).select(*keys, "cell", place.alias("code")))
+    times = dealt.groupBy(*keys).agg(F.min("cell").alias("cell"), F.min("code").alias("code"), F.count("*").alias("times")).alias("t")
+
+    def on(left: str, right: str):
+        return reduce(and_, [F.col(f"{left}.{b}").eqNullSafe(F.col(f"{right}.{a}")) for a, b in zip(keys, named, strict=True)])
+
+    found = rows.join(times, on("r", "t")).select("r.*", F.col("t.cell").alias(n), F.col("t.code").alias(code), "t.times")
+    one = found.where("times = 1").drop("times")
+    # repeated rows are numbered, and so are their places
+    order = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields])
+    many = found.where("times > 1").drop("times", code).withColumn(code, F.row_number().over(Window.partitionBy(*named).orderBy(order))).alias("m")
+    places = dealt.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy("code"))).alias("p")
+    many = many.join(places, on("m", "p") & (F.col(f"m.{code}") == F.col("p.n"))).select(*[F.col(f"m.`{c}`") for c in [*docs.columns, size, crc, n]], F.col("p.code").alias(code))
+    every = one.select(*[F.col(f"`{c}`") for c in [*docs.columns, size, crc, n, code]]).unionByName(many)
+    shard_ = F.shiftright(F.col(code), SLOT_BITS).cast("int")
+    results = {
+        "size": F.col(size), "text_crc32": F.col(crc), "law": F.lit("bytes"), "shard": shard_,
+        "slot": F.col(code) - F.shiftleft(shard_.cast("long"), SLOT_BITS), "grown_shard": F.lit(None).cast("int"), "cell": F.col(n),
+    }
+    held = {c.lower() for c in docs.columns}
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns], *[v.alias(k) for k, v in results.items() if k not in held])
