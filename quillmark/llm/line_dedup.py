@@ -4,16 +4,17 @@ A line is compared lower-cased, its words parted by single spaces. Its shingles
 characters at every position, as 64-bit hashes; a shorter line has one shingle, all of it. Each of
 ROWS * PLACES fixed random numbers gives a minimum of the line: the shingle hash nearest to the
 number by exclusive or. ROWS minima are a band, BANDS bands share the minima so that two have one in common at
-most. Two lines of Jaccard similarity 0.8 share a band with probability 0.999 (0.99997 at 0.9).
+most. Two lines of Jaccard similarity 0.8 share a band with probability 0.997 (0.9999 at 0.9).
 
 1. Different lines are gathered by one exchange of their text, and the minima of all their
    shingles are taken where they lie.
 2. Lines that share a band are compared by exact Jaccard on all shingles, made again from the text: each
-   with the least line of the band that it shares most bands with (a star), and the least line of each
-   component with that of the band's most frequent one. Union-find ties what is similar.
-3. Bands that still hold several components are finished: their lines outside the most frequent
-   component are compared with all others of the band, in blocks. So no similar pair that shares a
-   band stays untied, and a band of one large component costs time in proportion to its lines.
+   with the least line of the band that it shares most bands with (a star). Union-find ties what is similar.
+3. Bands that still hold several components are finished: each line outside a band's most frequent component is
+   compared with all lines of that component, and with the others that share a band with it. All these lines
+   are held as what they have and lack beside the component's least line, a few shingles each, from which the
+   similarity of two follows exactly. They are compared in blocks inside rows, so no pair is ever a row, no
+   similar pair that shares a band stays untied, and no task holds a large component.
 
 Of each component the line of least (doc_id, line number) stays, and all others go. Counts and least
 places are combined before each exchange, and joins have unique keys on one side, so adaptive execution
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop_cut, fresh, table
 
-WIDTH, ROWS, PLACES, BANDS, STEP, BLOCK = 8, 3, 7, 14, 8, 64
+WIDTH, ROWS, PLACES, BANDS, STEP, BLOCK = 8, 3, 5, 14, 16, 64
 #: Bytes of a character in UTF-32, in which the n-th character of a line is found without a scan.
 CHAR = 4
 #: White space as Python's str.split() has it, as a class of characters, and the UTF-8 bytes
@@ -130,14 +131,6 @@ def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return cut(old.select("node", F.coalesce("root", "component").alias("component")).union(new))
 
 
-def still_open(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows (key, node, c, top) of bands that hold several components; top is the most frequent one."""
-    named = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    tops = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("n"), F.sum("m").alias("size")).where("n > 1")
-    return cut(named.join(tops.select("key", F.col("top.c").alias("top"), F.col("top.m").alias("top_size"), "size"), "key"))
-
-
 def link(all_: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """(node, component) of the lines that have a similar line; all_ is lines()."""
     once = cut(sketched(all_))
@@ -150,48 +143,54 @@ def link(all_: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     texts = cut(texts.groupBy("node").agg(F.first("line").alias("line")), "zstd")
     star = shared.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
     best = star.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    tested = cut(best.withColumns({"src": F.col("a"), "dst": F.col("b")}))
-    groups = components(verify(texts, tested, up, down))
-    # the least line of each component against that of the band's most frequent one
-    left = still_open(shared, groups)
-    heads = left.groupBy("key", "c", "top").agg(F.min("node").alias("a"))
-    tops = heads.where("c = top").select("key", F.col("a").alias("b"))
-    pairs = heads.where("c <> top").join(tops, "key").select("a", "b", F.col("c").alias("src"), F.col("top").alias("dst")).distinct()
-    pairs = cut(untested(pairs, tested))
-    groups = joined(groups, verify(texts, pairs, up, down))
-    tested = tested.select("a", "b").union(pairs.select("a", "b"))
-    drop_cut(left)
-    left = still_open(shared, groups)
-    rest = cut(untested(remaining(left), tested))
-    drop_cut(left, shared)
-    return joined(groups, verify(texts, rest, up, down))
-
-
-def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    done = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(done, ["a", "b"], "left_anti")
-
-
-def remaining(left: DataFrame) -> DataFrame:
-    """Pairs (a, b, src, dst) of lines of different components in one band, by blocks of about BLOCK lines."""
-    own = left.where("c <> top").withColumn("i", F.pmod(F.xxhash64("node"), F.ceil((F.col("size") - F.col("top_size")) / BLOCK)))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    few = own.groupBy("key", "i", "size").agg(F.collect_list(F.struct("node", "c")).alias("few"))
-    few = few.select("key", "few", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("j"))
-    every = left.withColumn("j", F.pmod(F.xxhash64("node"), blocks))
-    every = every.groupBy("key", "j").agg(F.collect_list(F.struct("node", "c", (F.col("c") == F.col("top")).alias("is_top"))).alias("all"))
-    fits = lambda x, y: (y["is_top"] | (x["c"] < y["c"]))
-    pair = lambda x, y: F.struct(x["node"].alias("a"), y["node"].alias("b"), x["c"].alias("src"), y["c"].alias("dst"))
-    pairs = F.flatten(F.transform("few", lambda x: F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: pair(x, y))))
-    return few.join(every, ["key", "j"]).select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    groups = components(verify(texts, best.withColumns({"src": F.col("a"), "dst": F.col("b")}), up, down))
+    return joined(groups, finish(texts, shared, groups, up, down))
+
+
+def finish(texts: DataFrame, shared: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
+    """Links (src, dst) between components that share a band.
+
+    With d(x) the shingles in which a line differs from the component's least line, two lines of n and m shingles
+    differ in |d(x)| + |d(y)| - 2 |d(x) and d(y)| of them, which is at least the difference of the sizes.
+    """
+    named = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("top"))
+    beside = cut(named.join(tops, "key").where("c <> top").select("top", "node", "c").distinct())
+    heads = beside.select("top").distinct()
+    # of each component all lines; one without links is its own
+    own = groups.join(heads, groups.component == heads.top, "left_semi").select(F.col("component").alias("top"), "node", F.col("component").alias("c"))
+    single = heads.join(groups, groups.node == heads.top, "left_anti").select("top", F.col("top").alias("node"), F.col("top").alias("c"))
+    lines_ = own.union(single).withColumn("is_top", F.lit(True)).union(beside.withColumn("is_top", F.lit(False)))
+    heads = texts.join(heads, texts.node == heads.top).select("top", F.array_distinct(shingles(F.col("line"))).alias("r"))
+    held = lines_.join(texts, "node").select("top", "node", "c", "is_top", F.array_distinct(shingles(F.col("line"))).alias("s")).join(heads, "top")
+    apart = F.concat(F.array_except("s", "r"), F.array_except("r", "s"))
+    held = cut(held.select("top", "c", "is_top", F.xxhash64("node").alias("h"), F.size("s").alias("n"), apart.alias("d")))
+    sizes = held.groupBy("top").agg(F.count("*").alias("size"), F.count_if(~F.col("is_top")).alias("few"))
+    sizes = sizes.select("top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("few") / BLOCK).cast("int").alias("parts"))
+    held = held.join(sizes, "top").withColumn("line", F.struct("c", "is_top", "n", "d"))
+    left = held.where("not is_top").groupBy("top", "blocks", F.pmod("h", "parts").alias("i")).agg(F.collect_list("line").alias("own"))
+    left = left.select("top", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    right = held.groupBy("top", F.pmod("h", "blocks").cast("int").alias("j")).agg(F.collect_list("line").alias("others"))
+
+    def near(n, differ):
+        return (n - differ) * down >= (n + differ) * up
+
+    def fits(x, y):
+        n, a, b = x["n"] + y["n"], F.size(x["d"]), F.size(y["d"])
+        new = y["is_top"] | (x["c"] < y["c"])
+        return new & near(n, F.abs(a - b)) & near(n, a + b - F.size(F.array_intersect(x["d"], y["d"])) * 2)
+
+    pairs = F.transform("own", lambda x: F.transform(F.filter("others", lambda y: fits(x, y)), lambda y: F.struct(x["c"].alias("src"), y["c"].alias("dst"))))
+    return cut(left.join(right, ["top", "j"]).select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.*").distinct())
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_lines, n_removed, removed (line numbers from 0)."""
     place = F.struct("doc_id", "text_hash", "line_no")
-    all_lines = lines(docs)
+    all_lines = cut(lines(docs), "zstd")
     linked = link(all_lines, up, down)
-    places = cut(all_lines.select("doc_id", "text_hash", "line_no", "node"))
+    places = all_lines.select("doc_id", "text_hash", "line_no", "node")
     firsts = places.groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("times"))
     firsts = cut(firsts.join(linked, "node", "left").where("times > 1 or component is not null").select("node", "place", F.coalesce("component", "node").alias("component")))
     best = firsts.groupBy("component").agg(F.min("place").alias("best"))
