@@ -9,9 +9,11 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 MASK64 = (1 << 64) - 1
 #: Characters handled at once by the vectorised text code; a longer text is handled alone.
@@ -135,6 +137,26 @@ def components(edges: DataFrame) -> DataFrame:
         labels._quillmark_path = path
 
 
+def add_columns(docs: DataFrame, keep: list, make, fields: str) -> DataFrame:
+    """Columns `keep` of docs and those of the DDL `fields`, which make(texts) gives as lists or arrays.
+
+    Kept columns pass through as Arrow arrays, so ids beyond 2^53 stay exact beside nulls. A null text is given as "".
+    """
+    new = _parse_datatype_string(fields)
+    given = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"].alias("text") if "text" not in keep else F.lit(None).alias("_unused"))
+    at = len(keep) if "text" not in keep else keep.index("text")
+
+    def run(batches):
+        for batch in batches:
+            made = make(["" if t is None else t for t in batch.column(at).to_pylist()])
+            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + arrays, names)
+
+    schema = StructType([docs.schema[c] for c in keep] + new.fields)
+    names = schema.names
+    return given.mapInArrow(run, schema)
+
+
 # --- vectorised text -------------------------------------------------------------------------
 
 

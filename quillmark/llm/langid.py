@@ -3,30 +3,32 @@
 Every character 1-gram and 3-gram of the lower-cased letters, with a mark at word edges, is hashed to a
 row of an embedding table; a text is the mean of its rows, and a softmax layer turns that into
 language probabilities. Both are trained by stochastic gradient descent in numpy on a bounded
-sample of labelled rows (`sample_per_lang`, drawn by hash within each language). Whole texts are
+sample of labelled rows (`sample_per_lang`, `max_rows`, drawn by hash within each language). Whole texts are
 read, in training and in prediction.
 
 A temperature fitted on part of the sample calibrates the probabilities. A prediction is rejected
 if its probability or its mean log-odds against unseen subwords falls below thresholds set so that
 at most `reject_share` of the correctly predicted sample rows would be rejected.
 
-Null texts and texts without letters get `und`, score 0, rejected. Repeated rows get equal results.
-Null languages are not learned from; without any labelled row every text is `und`. Other columns
-of the input pass through unless they have the name of a result, which replaces them.
+Null texts and texts without letters get `und`, score 0, rejected. Repeated rows get equal results, and of equal
+rows one is learned from. Null languages are not learned from; without any labelled row every text is `und`,
+and an empty table gives an empty result. Other columns of the input pass through unless they have the name
+of a result, which replaces them; in the stage the results have names of their own, so all columns stay.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, codepoints, lookup, ship, table
+from .common import add_columns, chunked, codepoints, fresh, lookup, ship, table
 
 ship(__name__)
 
 BUCKETS, WIDTH, ORDERS = 1 << 16, 16, (1, 3)
+#: N-grams whose rows are summed at once in a prediction.
+PART = 1 << 18
 
 
 def subwords(texts: list):
@@ -132,11 +134,12 @@ def predict(model: dict, texts: list):
     for a, b in chunked(texts):
         total = np.zeros((b - a, rows.shape[1]))
         for h, owner in subwords(texts[a:b]):
-            at = np.searchsorted(owner, np.arange(b - a))
-            size = np.diff(np.append(at, len(owner)))
-            if len(h):
-                total[size > 0] += np.add.reduceat(rows[h], at[size > 0], axis=0, dtype=np.float64)
-            total[:, -1] += size
+            # in parts, so that a very long text takes no more memory than others
+            for s in range(0, len(h), PART):
+                part = owner[s : s + PART]
+                first = np.flatnonzero(np.diff(part, prepend=-1))
+                total[part[first]] += np.add.reduceat(rows[h[s : s + PART]], first, axis=0, dtype=np.float64)
+            total[:, -1] += np.bincount(owner, minlength=b - a)
         n = np.maximum(1, total[:, -1])
         known = total[:, -2] / n
         z = (total[:, :-2] / n[:, None] + model["bias"]) / model["heat"]
@@ -152,43 +155,35 @@ def predict(model: dict, texts: list):
     return lang, score, rejected
 
 
-def fit(docs: DataFrame, sample_per_lang: int = 700, max_langs: int = 256, where=None) -> dict:
-    """Train on at most `sample_per_lang` rows, by hash, of each of the `max_langs` most common languages."""
+def fit(docs: DataFrame, sample_per_lang: int = 700, max_rows: int = 200_000, where=None) -> dict:
+    """Train on at most `sample_per_lang` different texts, by hash, of each language, and on `max_rows` in all.
+
+    Every language is learned; where there are so many that `max_rows` would be passed, each gives fewer texts.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if where is not None:
         known = known.where(where)
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+    draw = known.select("lang", "text", F.xxhash64(F.lit(3), F.col("doc_id").cast("string"), "text").alias("_draw"))
+    sizes = draw.select("lang", "_draw").distinct().groupBy("lang").agg(F.count("*").alias("_size"), F.min("_draw").alias("_least"))
+    quota = max(1, min(sample_per_lang, max_rows // max(1, sizes.count())))
+    # about 1.3 times the quota by hash, so no language's rows are ever gathered in one task
+    share = (F.least(F.lit(1.0), F.lit(1.3 * quota) / F.col("_size")) * 2 - 1) * F.lit(2.0**63 - 2048)
+    picked = draw.join(sizes, "lang").where((F.col("_draw").cast("double") <= share) | (F.col("_draw") == F.col("_least")))
+    by: dict = {}
+    for r in sorted(picked.groupBy("lang", "_draw").agg(F.min("text").alias("text")).collect(), key=lambda r: r["_draw"]):
+        by.setdefault(r["lang"], []).append(r["text"])
     texts, langs = [], []
-    draw = known.withColumn("_draw", F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)))
-    if sizes:
-        # keep about 1.3 times the quota by hash, so no language's rows are ever gathered in one task
-        top = 2.0**63
-        limit = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], int(min(top - 1024, (min(1.0, 1.3 * sample_per_lang / r["count"]) * 2 - 1) * top)))])
-        rows = draw.where(F.col("_draw") <= limit[F.col("lang")]).select("lang", "text", "_draw").collect()
-        by: dict = {}
-        for r in sorted(rows, key=lambda r: (r["_draw"], r["text"])):
-            by.setdefault(r["lang"], []).append(r["text"])
-        for name in sorted(by):
-            texts += by[name][:sample_per_lang]
-            langs += [name] * len(by[name][:sample_per_lang])
+    for name in sorted(by):
+        texts += by[name][:quota]
+        langs += [name] * len(by[name][:quota])
     return train(texts, langs)
 
 
-def identify(docs: DataFrame, model: dict, keep: list | None = None) -> DataFrame:
-    """Add lang_pred, score and rejected to the columns `keep` (all of docs by default)."""
-    keep = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score", "rejected")]
-    given = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: BUCKETS rows by at most max_langs
-
-    def run(batches):
-        for pdf in batches:
-            lang, score, rejected = predict(held.value, [None if t is None else str(t) for t in pdf["text"]])
-            out = pdf[keep].copy()
-            out["lang_pred"], out["score"], out["rejected"] = lang, pd.Series(score, out.index, float), pd.Series(rejected, out.index, bool)
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name in keep)
-    return given.mapInPandas(run, f"{fields}{', ' if fields else ''}lang_pred string, score double, rejected boolean")
+def identify(docs: DataFrame, model: dict, keep: list | None = None, names: tuple = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Add the results, called `names`, to the columns `keep` (all of docs by default)."""
+    keep = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in names]
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed: BUCKETS rows by the number of languages
+    return add_columns(docs, keep, lambda texts: predict(held.value, texts), f"{names[0]} string, {names[1]} double, {names[2]} boolean")
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)), 0) % 4 = 2"
@@ -204,4 +199,5 @@ def op3(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those rejected go."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    return identify(docs, model).where("not rejected").select(*docs.columns)
+    names = fresh(docs, n=3)
+    return identify(docs, model, names=tuple(names)).where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])

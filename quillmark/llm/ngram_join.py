@@ -11,12 +11,13 @@
 4. Union-find over the forests gives the components.
 
 Result: a row per document with doc_id, class_id (least doc_id with its n-gram set), n_links (other
-documents of similarity >= threshold), component_id (least doc_id reachable), kept.
+documents of similarity >= threshold), component_id (least doc_id reachable), kept (one row of a component).
 
 Words are runs of letters and digits, lower-cased. A text of fewer words than the width has one
 shingle of them all; texts without words (null, empty, marks only) link with nothing, each its own
-component. Null ids: rows join as others do, ids of classes ignore nulls; repeated ids: each row
-is a document. Graph nodes are 64-bit hashes of the sets. Empty tables give empty results.
+component, and all kept. Null ids: rows join as others do, ids of classes ignore nulls; repeated ids: each row
+is a document, and of rows equal in id and text one is kept at most. Graph nodes are 64-bit hashes of the sets.
+Other columns may have any names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MASK64, as_long, components, cut, mix, shingles, ship, table
+from .common import MASK64, add_columns, as_long, components, cut, fresh, mix, shingles, ship, table
 
 ship(__name__)
 
@@ -141,18 +142,15 @@ def verify(pdf: pd.DataFrame, threshold: tuple) -> pd.DataFrame:
 
 
 def join(docs: DataFrame, threshold: tuple = (4, 5), width: int = 5, rows: int = 6, recall: float = 0.9999, block: int = 256) -> tuple:
-    """(rows, classes): each row's doc_id and class (h1, h2), and what was found for each class."""
+    """(rows, classes): each row's doc_id, text_hash and class (h1, h2), and what was found for each class."""
     count = plan(threshold[0] / threshold[1], recall, rows)
 
-    def sketch(batches):
-        for pdf in batches:
-            sets = shingles(["" if t is None else t for t in pdf["text"]], width)
-            h1, h2 = set_hashes(sets)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "h1": h1, "h2": h2, "grams": [len(s) for s in sets], "bands": bands(sets, count, rows)})
+    def sketch(texts):
+        sets = shingles(texts, width)
+        return *set_hashes(sets), np.array([len(s) for s in sets], np.int32), bands(sets, count, rows)
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    source = docs.select("doc_id", "text")
-    rows_ = cut(source.mapInPandas(sketch, f"doc_id {kind}, h1 long, h2 long, grams int, bands array<long>"))
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows_ = cut(add_columns(source, ["doc_id", "text_hash"], sketch, "h1 long, h2 long, grams int, bands array<long>"))
     full = rows_.where("grams > 0")
     classes = cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")))
     exploded = full.select("h1", F.posexplode("bands").alias("band", "key"))
@@ -163,17 +161,15 @@ def join(docs: DataFrame, threshold: tuple = (4, 5), width: int = 5, rows: int =
     found = classes.join(groups, classes.h1 == groups.node).join(sizes, "component")
     found = cut(found.select("h1", "h2", "class_id", "copies", "component", "blocks", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int").alias("b")))
 
-    def again(batches):
-        for pdf in batches:
-            sets = shingles(["" if t is None else t for t in pdf["text"]], width)
-            h1, h2 = set_hashes(sets)
-            yield pd.DataFrame({"h1": h1, "h2": h2, "grams": [s.tobytes() for s in sets]})
+    def again(texts):
+        sets = shingles(texts, width)
+        return *set_hashes(sets), [x.tobytes() for x in sets]
 
     # one document a class is read again; the sets travel only for candidates
     ids = found.select(F.col("class_id").alias("doc_id")).distinct().alias("i")
     s = source.alias("s")
     texts = s.join(ids, F.col("s.doc_id").eqNullSafe(F.col("i.doc_id")), "left_semi").select("text")
-    sets = texts.mapInPandas(again, "h1 long, h2 long, grams binary")
+    sets = add_columns(texts, [], again, "h1 long, h2 long, grams binary").dropDuplicates(["h1", "h2"])
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     found = found.withColumn("o", F.explode(other))
     found = found.select("h1", "h2", "copies", "component", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side"))
@@ -186,52 +182,47 @@ def join(docs: DataFrame, threshold: tuple = (4, 5), width: int = 5, rows: int =
     out = classes.join(linked, ["h1", "h2"], "left").join(j, "h1", "left")
     out = cut(out.select("h1", "h2", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "h1").alias("root")))
     least = out.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    return rows_.select("doc_id", "h1", "h2", "grams"), out.join(least, "root")
+    return rows_.select("doc_id", "text_hash", "h1", "h2", "grams"), out.join(least, "root")
+
+
+def decided(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each different (doc_id, text_hash): times it occurs, its class's results, and whether one of them is kept.
+
+    Of a component that is a row with the least id (null if it has no other), and of these the one of
+    least text hash. Rows without words are all kept.
+    """
+    once = rows.groupBy("doc_id", "text_hash", "h1", "h2", "grams").agg(F.count("*").alias("times"))
+    out = once.join(classes, ["h1", "h2"], "left")
+    held = out.where("grams > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = held.groupBy("root").agg(F.min("text_hash").alias("best"))
+    out = out.join(best, "root", "left")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("best"))
+    return out.withColumn("kept", F.when(F.col("grams") == 0, True).otherwise(F.coalesce(first, F.lit(False))))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    rows, classes = join(table(spark, sf_dir, "documents"))
-    out = rows.join(classes, ["h1", "h2"], "left")
+    out = decided(*join(table(spark, sf_dir, "documents")))
     alone = F.col("grams") == 0
+    # rows equal in id and text: the first of them is kept at most
+    out = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")), F.lit(False)).alias("kept"),
+        (F.col("kept") & (alone | (F.col("i") == 1))).alias("kept"),
     )
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of least id. Rows equal to it in id and n-grams count as one.
-
-    A group whose ids are all null keeps one of its rows; texts without words all stay.
-    """
-    rows, classes = join(docs.select("doc_id", "text"))
-    out = rows.where("grams > 0").join(classes, ["h1", "h2"])
-    held = out.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # rows that share the least id: one is chosen by its n-grams, then by its text
-    best = held.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("h1").alias("_h1"), F.count("*").alias("_rows"))
-    best = best.withColumnRenamed("root", "_root")
-    empty = rows.where("grams = 0").select("doc_id").distinct()
-    # the only row of its id, and the best of its group: kept as it is
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("_same"))
-    good = best.join(ids.alias("n"), best.doc_id.eqNullSafe(F.col("n.doc_id"))).select(best.doc_id.alias("_id"), "_h1", "_same")
-    d = docs.alias("d")
-    clear = d.join(good.where("_same = 1").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g._id")), "left_semi")
-    blank = d.join(empty.alias("e"), F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")), "left_semi")
-
-    def hashed(batches):
-        for pdf in batches:
-            sets = shingles(["" if t is None else t for t in pdf["text"]])
-            h1, _ = set_hashes(sets)
-            yield pdf.assign(_h1=h1, _n=[len(s) for s in sets])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    blank = blank.mapInPandas(hashed, f"{fields}, _h1 long, _n int").where("_n = 0").select(*docs.columns)
-    tied = good.where("_same > 1").alias("g")
-    shared = d.join(tied, F.col("d.doc_id").eqNullSafe(F.col("g._id")), "left_semi").mapInPandas(hashed, f"{fields}, _h1 long, _n int")
-    t = shared.alias("t")
-    shared = t.join(tied, F.col("t.doc_id").eqNullSafe(F.col("g._id")) & (F.col("t._h1") == F.col("g._h1"))).select("t.*")
-    shared = shared.groupBy("doc_id", "_h1").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")).select("_row.*")
-    return clear.unionByName(blank).unionByName(shared)
+    """One document of each group, as decided(); texts without words all stay. Columns may have any names."""
+    kept = decided(*join(docs.select("doc_id", "text"))).where("kept")
+    h, many = fresh(docs, n=2)
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("text_hash"), ((F.col("times") > 1) & (F.col("grams") > 0)).alias("many")).alias("k")
+    d = docs.withColumn(h, F.xxhash64("text")).alias("d")
+    out = d.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.id")) & (F.col(f"d.{h}") == F.col("k.text_hash")))
+    out = out.select("d.*", F.col("k.many").alias(many))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # rows equal in id and text: the first by their other columns stays
+    one = out.where(many).groupBy("doc_id", h).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("row")).select("row.*")
+    return out.where(~F.col(many)).select(*columns).unionByName(one)

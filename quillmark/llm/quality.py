@@ -9,7 +9,8 @@ at which a raw score on the cut gets exactly `threshold`.
 
 Whole texts are read. Null and empty texts get the score of all-zero features. Without preference
 pairs (no labels, or only one kind) all weights are 0 and every score is `threshold`. Repeated
-rows get equal results.
+rows get equal results; a raw score on the cut counts as above it. Null ids are rated and never learned from.
+Input columns called score or predicted are replaced in rate(). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import math
 import unicodedata
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, codepoints, lookup, mix, ship, span_hashes, table
+from .common import add_columns, chunked, codepoints, lookup, mix, ship, span_hashes, table
 
 ship(__name__)
 
@@ -119,31 +119,24 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         marked = marked.where(where)
     drawn = marked.select("doc_id", F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(sample)
 
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"y": pdf["_y"], "f": list(features(["" if t is None else t for t in pdf["text"]]))})
-
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "_y")  # `sample` rows at most
-    got = rows.drop("doc_id").mapInPandas(run, "y int, f array<double>").toPandas()
-    x = np.array([np.asarray(v) for v in got["f"]]) if len(got) else np.zeros((0, CLASSES**2 + 13))
-    order = np.lexsort(np.column_stack([x, got["y"]]).T) if len(got) else np.zeros(0, int)
-    return train(x[order], got["y"].to_numpy()[order] if len(got) else np.zeros(0, int), threshold)
+    # `sample` rows at most; of documents with one id the least text, so repeated rows don't add to them
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))
+    got = add_columns(rows, ["_y"], lambda texts: (list(features(texts)),), "f array<double>").collect()
+    x = np.array([r["f"] for r in got]) if got else np.zeros((0, CLASSES**2 + 13))
+    y = np.array([r["_y"] for r in got], int)
+    order = np.lexsort(np.column_stack([x, y]).T) if len(got) else np.zeros(0, int)
+    return train(x[order], y[order], threshold)
 
 
 def rate(docs: DataFrame, model: dict, keep: list) -> DataFrame:
     """Columns `keep` of docs with score and predicted."""
-    keep = [c for c in keep if c not in ("score", "predicted")]
-    given = docs.select(*keep, *([] if "text" in keep else ["text"]))
-
-    def run(batches):
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["score"] = score(model, ["" if t is None else t for t in pdf["text"]])
-            out["predicted"] = (out["score"] >= model["threshold"]).astype("int32")
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name in keep)
-    return given.mapInPandas(run, f"{fields}{', ' if fields else ''}score double, predicted int")
+    keep = [c for c in keep if c.lower() not in ("score", "predicted")]
+
+    def run(texts):
+        rated = score(model, texts)
+        return rated, (rated >= model["threshold"]).astype(np.int32)
+
+    return add_columns(docs, keep, run, "score double, predicted int")
 
 
 HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)), 1) % 5 = 0"

@@ -10,8 +10,8 @@ Viterbi decoding is exact but skips certain ground: a token whose outside score
 by more than any change of the tags beside it can return is outside on the best path, so paths
 are searched only between such tokens.
 
-Null texts are empty: no spans. Offsets count code points, ends exclusive. Repeated rows get equal
-results. Predicted spans that overlap a pattern's span are left out, the pattern's stays.
+Null texts are empty: no spans. Null and repeated ids do no harm, other columns are not read, and an empty table
+gives an empty result. Offsets count code points, ends exclusive. Repeated rows get equal results. Predicted spans that overlap a pattern's span are left out, the pattern's stays.
 """
 
 from __future__ import annotations
@@ -20,11 +20,10 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, codepoints, drawn, lookup, ship, span_hashes, table
+from .common import add_columns, chunked, codepoints, drawn, lookup, ship, span_hashes, table
 
 ship(__name__)
 
@@ -286,19 +285,15 @@ def named(spans: list) -> str:
 def find(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id with counts by kind, the digest of the pattern spans, and all spans."""
 
-    def run(batches):
-        for pdf in batches:
-            found = scan(model, ["" if t is None else t for t in pdf["text"]])
-            base = [[x for x in s if x[2] < 3] for s in found]
-            cols = {"doc_id": pdf["doc_id"]}
-            for k in range(3):
-                cols[f"n_{KINDS[k]}"] = pd.Series([sum(x[2] == k for x in s) for s in found], pdf.index, "int64")
-            cols["base_sha256"] = pd.Series([hashlib.sha256(named(s).encode()).hexdigest() for s in base], pdf.index, object)
-            cols["spans"] = pd.Series([named(s) for s in found], pdf.index, object)
-            cols["n_crf"] = pd.Series([len(s) - len(t) for s, t in zip(found, base, strict=True)], pdf.index, "int64")
-            yield pd.DataFrame(cols)
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
+    def run(texts):
+        found = scan(model, texts)
+        base = [[x for x in s if x[2] < 3] for s in found]
+        counts = [np.array([sum(x[2] == k for x in s) for s in found], np.int64) for k in range(3)]
+        digests = [hashlib.sha256(named(s).encode()).hexdigest() for s in base]
+        added = np.array([len(s) - len(t) for s, t in zip(found, base, strict=True)], np.int64)
+        return *counts, digests, [named(s) for s in found], added
+
+    return add_columns(docs, ["doc_id"], run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_crf long")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
