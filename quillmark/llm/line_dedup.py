@@ -8,13 +8,16 @@ most. Two lines of Jaccard similarity 0.8 share a band with probability 0.997 (0
 
 1. Different lines are gathered by one exchange of their text, and the minima of all their
    shingles are taken where they lie.
-2. Lines that share a band are compared by exact Jaccard on all shingles, made again from the text: each
-   with the least line of the band that it shares most bands with (a star). Union-find ties what is similar.
-3. Bands that still hold several components are finished: each line outside a band's most frequent component is
-   compared with all lines of that component, and with the others that share a band with it. All these lines
+2. Lines that share a band are compared by exact Jaccard on all shingles, made again from the text: each with
+   the most common line of the band that it shares most bands with (a star). The most common line is the one whose
+   bands hold most lines: of an original and its copies, each with a change of its own, the original. Union-find
+   ties what is similar.
+3. Bands that still hold several components are finished. In a band of SMALL lines or fewer the pairs of lines of
+   different components are verified like those of the star. In a larger one each line outside the band's most
+   frequent component is compared with all lines of that component, and with the others of its kind. These lines
    are held as what they have and lack beside the component's least line, a few shingles each, from which the
-   similarity of two follows exactly. They are compared in blocks inside rows, so no pair is ever a row, no
-   similar pair that shares a band stays untied, and no task holds a large component.
+   similarity of two follows exactly. They are compared in blocks inside rows, so their pairs are never rows and
+   no task holds a large component. No similar pair that shares a band stays untied.
 
 Of each component the line of least (doc_id, line number) stays, and all others go. Counts and least
 places are combined before each exchange, and joins have unique keys on one side, so adaptive execution
@@ -35,7 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, drop_cut, fresh, table
 
-WIDTH, ROWS, PLACES, BANDS, STEP, BLOCK = 8, 3, 5, 14, 16, 64
+WIDTH, ROWS, PLACES, BANDS, STEP, BLOCK, SMALL = 8, 3, 5, 14, 16, 64, 8
+#: Rows of one or two numbers that are broadcast at most, a few MB; larger tables are joined by shuffle.
+BROADCAST_ROWS = 500_000
 #: Bytes of a character in UTF-32, in which the n-th character of a line is found without a scan.
 CHAR = 4
 #: White space as Python's str.split() has it, as a class of characters, and the UTF-8 bytes
@@ -111,9 +116,12 @@ def sketched(all_: DataFrame) -> DataFrame:
 
 def alike(a, b, up: int, down: int):
     """Whether the Jaccard similarity of two shingle arrays is up / down or more, in whole numbers."""
-    both = F.size(F.array_intersect(a, b))
-    n, m = F.size(F.array_distinct(a)), F.size(F.array_distinct(b))
-    return both * down >= (n + m - both) * up
+    return F.size(F.array_intersect(a, b)) * down >= F.size(F.array_union(a, b)) * up
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The table of keys, to be broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def verify(texts: DataFrame, pairs: DataFrame, up: int, down: int) -> DataFrame:
@@ -132,31 +140,46 @@ def joined(groups: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def link(all_: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
-    """(node, component) of the lines that have a similar line; all_ is lines()."""
+    """(node, component) of the lines that have a similar line; all_ is lines(), a table that is dropped once it is read."""
     once = cut(sketched(all_))
     keys = once.select("node", F.explode("keys").alias("key"))
-    meet = cut(keys.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("size")).where("size > 1"))
-    shared = cut(keys.join(meet, "key").select("key", "node", "least"))
+    # the lines of a band of two or three follow from these; only larger bands are joined to all keys again
+    ends = [F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("node").alias("mixed"), F.count("*").alias("size")]
+    meet = cut(keys.groupBy("key").agg(*ends).where("size > 1"))
+    third = F.when(F.col("size") == 3, F.col("mixed").bitwiseXOR(F.col("least")).bitwiseXOR(F.col("most")))
+    known = meet.where("size <= 3").select("key", F.explode(F.array_compact(F.array("least", "most", third))).alias("node"), "size")
+    large = keys.join(bounded(meet.where("size > 3").select("key", "size")), "key").select("key", "node", "size")
+    shared = cut(known.union(large))
     drop_cut(meet, once)
+    common = cut(shared.groupBy("node").agg(F.sum("size").alias("common")))
     # only lines that share a band are needed again
-    texts = all_.select("node", "line").join(shared.select("node").distinct(), "node", "left_semi")
+    texts = all_.select("node", "line").join(bounded(common.select("node")), "node", "left_semi")
     texts = cut(texts.groupBy("node").agg(F.first("line").alias("line")), "zstd")
-    star = shared.where("node <> least").groupBy(F.col("node").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("bands"))
-    best = star.groupBy("a").agg(F.max(F.struct("bands", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    drop_cut(all_)
+    centres = shared.join(common, "node").groupBy("key").agg(F.max(F.struct("common", "node")).alias("centre")).select("key", "centre.*").withColumnRenamed("node", "b")
+    star = shared.join(centres, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("bands"), F.max("common").alias("common"))
+    best = star.groupBy("a").agg(F.max(F.struct("bands", "common", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    best = cut(best)
     groups = components(verify(texts, best.withColumns({"src": F.col("a"), "dst": F.col("b")}), up, down))
-    return joined(groups, finish(texts, shared, groups, up, down))
+    named = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
+    counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    tops = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("n"))
+    left = cut(named.join(tops.where("n > 1").select("key", F.col("top.c").alias("top"), "size"), "key"))
+    few = left.where(F.col("size") <= SMALL)
+    a, b = few.select("key", F.col("node").alias("a"), F.col("c").alias("src")), few.select("key", F.col("node").alias("b"), F.col("c").alias("dst"))
+    tested = best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = a.join(b, "key").where("a > b and src <> dst").select("a", "b", "src", "dst").distinct().join(tested, ["a", "b"], "left_anti")
+    edges = verify(texts, pairs, up, down).union(finish(texts, left.where(F.col("size") > SMALL), groups, up, down))
+    return joined(groups, edges)
 
 
-def finish(texts: DataFrame, shared: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
-    """Links (src, dst) between components that share a band.
+def finish(texts: DataFrame, left: DataFrame, groups: DataFrame, up: int, down: int) -> DataFrame:
+    """Links (src, dst) between the components of lines (key, node, c, top) that share a band, top its most frequent component.
 
     With d(x) the shingles in which a line differs from the component's least line, two lines of n and m shingles
     differ in |d(x)| + |d(y)| - 2 |d(x) and d(y)| of them, which is at least the difference of the sizes.
     """
-    named = shared.join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    counts = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    tops = counts.groupBy("key").agg(F.max(F.struct("m", "c")).alias("top"), F.count("*").alias("n")).where("n > 1").select("key", F.col("top.c").alias("top"))
-    beside = cut(named.join(tops, "key").where("c <> top").select("top", "node", "c").distinct())
+    beside = cut(left.where("c <> top").select("top", "node", "c").distinct())
     heads = beside.select("top").distinct()
     # of each component all lines; one without links is its own
     own = groups.join(heads, groups.component == heads.top, "left_semi").select(F.col("component").alias("top"), "node", F.col("component").alias("c"))
@@ -178,19 +201,24 @@ def finish(texts: DataFrame, shared: DataFrame, groups: DataFrame, up: int, down
 
     def fits(x, y):
         n, a, b = x["n"] + y["n"], F.size(x["d"]), F.size(y["d"])
-        new = y["is_top"] | (x["c"] < y["c"])
-        return new & near(n, F.abs(a - b)) & near(n, a + b - F.size(F.array_intersect(x["d"], y["d"])) * 2)
+        return (x["c"] != y["c"]) & near(n, F.abs(a - b)) & near(n, a + b - F.size(F.array_intersect(x["d"], y["d"])) * 2)
+
+    def ties(x):
+        # a line tied to the component needs no other tie here: another line tied to it by this one alone has the tie itself
+        top = F.exists("others", lambda y: y["is_top"] & fits(x, y))
+        rest = F.transform(F.filter("others", lambda y: ~y["is_top"] & fits(x, y)), lambda y: y["c"])
+        return F.transform(F.when(top, F.array("top")).otherwise(F.array_distinct(rest)), lambda c: F.struct(x["c"].alias("src"), c.alias("dst")))
 
-    pairs = F.transform("own", lambda x: F.transform(F.filter("others", lambda y: fits(x, y)), lambda y: F.struct(x["c"].alias("src"), y["c"].alias("dst"))))
-    return cut(left.join(right, ["top", "j"]).select(F.explode(F.array_distinct(F.flatten(pairs))).alias("p")).select("p.*").distinct())
+    pairs = left.join(right, ["top", "j"]).select(F.explode(F.array_distinct(F.flatten(F.transform("own", ties)))).alias("p"))
+    return cut(pairs.select("p.*").distinct())
 
 
 def dedup(docs: DataFrame, up: int = 4, down: int = 5) -> DataFrame:
     """A row for each document: doc_id, text_hash, n_lines, n_removed, removed (line numbers from 0)."""
     place = F.struct("doc_id", "text_hash", "line_no")
     all_lines = cut(lines(docs), "zstd")
+    places = cut(all_lines.select("doc_id", "text_hash", "line_no", "node"))
     linked = link(all_lines, up, down)
-    places = all_lines.select("doc_id", "text_hash", "line_no", "node")
     firsts = places.groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("times"))
     firsts = cut(firsts.join(linked, "node", "left").where("times > 1 or component is not null").select("node", "place", F.coalesce("component", "node").alias("component")))
     best = firsts.groupBy("component").agg(F.min("place").alias("best"))
