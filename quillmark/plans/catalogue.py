@@ -12,7 +12,9 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from quillmark.operators.views import DUCK, build
+from quillmark.functions.text import all_of, let
+from quillmark.operators import stats
+from quillmark.operators.views import DUCK, build, pieces
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -403,3 +405,51 @@ def html_text(spark, sf_dir):
 
 QUERIES["html_text"] = html_text
 ORACLE["html_text"] = f"SELECT page_id, trim({duck_rewritten('html', SCRUB)}) AS text FROM pages"
+
+# --- plans of Spark's own for four of the queries above; their SQL stays the oracle ------------------
+
+
+def duplicate_units(spark, sf_dir):
+    """The first earlier unit that a unit repeats; sets are made once, sizes compared before members, no exchange."""
+    sets = F.transform(pieces(F.col("text")), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), F.array_distinct(all_of(F.lower(x), "[a-z]+")).alias("s")))
+
+    def like(old, new):
+        n, m, both = F.size(old["s"]), F.size(new["s"]), F.size(F.array_intersect(old["s"], new["s"]))
+        return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (((n == m) & (both == n)) | ((m >= 5) & (both * 4 >= (n + m - both) * 3)))
+
+    first = lambda all_, own, i: F.get(F.filter(F.slice(all_, 1, i), lambda w: like(w, own)), F.lit(0))["pos"]
+    rows = let(F.filter(sets, lambda u: F.size(u["s"]) > 0), lambda all_: F.transform(all_, lambda own, i: F.struct(own["pos"].alias("pos"), first(all_, own, i).alias("first_pos"))))
+    return build(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(rows, lambda r: r["first_pos"].isNotNull())).alias("r")).select("doc_id", "r.pos", "r.first_pos")
+
+
+def surface_features_long(spark, sf_dir):
+    """F16's five rates of each unit: one scan, all features from one array of words."""
+    rows = build(spark, sf_dir, "units").select("doc_id", "pos", all_of(F.lower("text"), "[a-z]+").alias("w")).where("size(w) > 0")
+    per = lambda n: n.cast("double") / F.size("w")
+    count = lambda test: per(F.size(F.filter("w", test)))
+    ends = ("tion", "sion", "ment", "ness", "ity", "ance", "ence")
+    values = {
+        "length": F.size("w").cast("double"), "word_length": per(F.length(F.array_join("w", ""))), "long_rate": count(lambda w: F.length(w) >= 9),
+        "nominal_rate": count(lambda w: reduce(lambda a, b: a | b, [w.endswith(e) for e in ends])), "ing_rate": count(lambda w: w.endswith("ing")),
+    }
+    each = F.array(*[F.struct(F.lit(k).alias("feature"), v.alias("value")) for k, v in values.items()])
+    return rows.select("doc_id", "pos", F.explode(each).alias("f")).select("doc_id", "pos", "f.feature", "f.value")
+
+
+def findings_by_kind(spark, sf_dir):
+    """counts by language and kind and of all of either, from one scan."""
+    kinds = F.array_compact(F.array(F.when(F.col("n_words") > 16, "long-sentence"), F.when(F.contains("text", F.lit(";")), "semicolon"), F.when(F.col("n_words") <= 5, "short")))
+    rows = build(spark, sf_dir, "units").select("lang", "doc_id", F.explode(kinds).alias("kind"))
+    return rows.cube("lang", "kind").agg(F.count("*").alias("findings"), F.count_distinct("doc_id").alias("documents"))
+
+
+def auc_by_feature(spark, sf_dir):
+    """area under the curve of three lengths: units and labels are read and joined once."""
+    units = build(spark, sf_dir, "units").groupBy("doc_id").agg(F.count("*").alias("units"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest"))
+    each = F.array(*[F.struct(F.lit(k).alias("feature"), F.col(k).cast("double").alias("value")) for k in ("units", "words", "longest")])
+    rows = build(spark, sf_dir, "labels").join(units, "doc_id").select(F.col("quality").alias("label"), F.explode(each).alias("f"))
+    return stats.auc(rows.select("label", "f.*"))
+
+
+for _name in ("duplicate_units", "surface_features_long", "findings_by_kind", "auc_by_feature"):
+    QUERIES[_name] = globals()[_name]
