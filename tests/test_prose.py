@@ -490,7 +490,7 @@ def test_flags_labels_and_sinks(spark, tmp_path):
     row = readers.label_sets(spark, str(tmp_path / "labels.json")).first()
     assert (row["name"], row["score"], row["yellow_prefixes"], row["unknown_prefixes"]) == ("d", 5.5, ["A"], None)
     readers.write_ready(spark.createDataFrame([(1, True), (2, False)], "id int, ready boolean"), str(tmp_path / "out"))
-    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).where("ready").collect()] == [1]
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).where("ready = 'true'").collect()] == [1]
     pairs = spark.createDataFrame([(1, SOURCE, "It ended; 7.", "")], "pair_id long, source string, draft string, facts string")
     assert readers.report(compare.findings(pairs)).first()["text"].startswith("# Findings: ")
 
