@@ -511,7 +511,32 @@ ODD = [
 ]
 
 
+def test_short_patterns_equal_the_rules_that_they_stand_for(spark):
+    texts = spark.createDataFrame([(x,) for x in ODD], "text string")
+    t = F.col("text")
+    words = F.aggregate(T.alpha_words(t), F.lit(0), lambda a, w: a + T.syllables(w))
+    bare = F.transform(T.all_of(t, T.TERM), lambda w: F.regexp_replace(F.regexp_replace(w, "[.]+$", ""), f"[{T.RAISED}]+$", ""))
+    name = lambda w: (w.rlike("[A-Z].*[A-Z]") | (w.rlike("[A-Z]") & w.rlike("[0-9²³¹⁰⁴-⁹₀-₉]"))) & ~w.isin(*T.UNIT_NAMES)
+    same = {
+        "syllables": (T.n_syllables(t), words), "words": (T.n_words(t), F.size(T.words(t))), "terms": (T.terms(t), F.array_distinct(F.filter(bare, name))),
+        "flat": (T.flat(t), F.trim(F.regexp_replace(t, T.SPACE, " "))), "nominal": (T.all_of(t, detect.NOMINAL), T.all_of(t, T.whole(detect.L.NOMINAL))),
+        "pronouns": (T.all_of(t, detect.PRONOUN), T.all_of(t, T.whole("|".join(detect.L.PRONOUNS)))),
+    }
+    for row in texts.select("text", *[F.struct(F.to_json(F.struct(a)).alias("a"), F.to_json(F.struct(b.alias("x"))).alias("b"), a.eqNullSafe(b).alias("same")).alias(k) for k, (a, b) in same.items()]).collect():
+        assert all(row[k]["same"] for k in same), row
+
+
 def test_a_gate_looks_at_each_paragraph_once(spark):
     both = spark.createDataFrame([("One 5.\n\nSame DOE 7.\n\nGone.", "One 6.\n\nSame DOE 7.")], "a string, b string").select(gate.gate_document(F.col("a"), F.col("b")).alias("g"))
     assert both._jdf.queryExecution().analyzed().toString().count(T.NUMBER_RUN) == 2
     assert [(g["para"], g["passed"], g["reasons"]) for g in both.first()["g"]] == [(1, False, ["numbers"]), (2, True, []), (3, False, ["missing"])]
+
+
+def test_counted_failures_equal_the_findings_that_fail(spark):
+    more = [("Five cells.\n\nSame 7 and 7.\n\nSame 7 and 7.\n\nLost 12 of ⟦1⟧ it.", "Six cells, 12 or 6.\n\nSame 7 and 7. New.\n\nSame 7 and 7.\n\nAdded 3 to nine.", "- 3 are known"), ("", "", ""), (None, "Only 4.", None), ("A 4 b c d e f g.", None, None)]
+    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate([*PASSAGES, *more])], "pair_id long, source string, draft string, facts string")
+    failing = F.size(F.filter("findings", lambda f: f["level"] == "FAIL")).cast("long").alias("failures")
+    want = compare.check(pairs).select("pair_id", "stats", failing).orderBy("pair_id").collect()
+    got = compare.counted(pairs)
+    assert got.orderBy("pair_id").collect() == want and sum(r["failures"] > 0 for r in want) > 3
+    assert got._jdf.queryExecution().analyzed().toString().count("gotten") == 1
